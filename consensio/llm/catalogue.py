@@ -1,7 +1,7 @@
 """All queries of the llm folder."""
 
-from consensio.llm import pairs, truncation
+from consensio.llm import leaks, pairs, truncation
 
-_MODULES = [truncation, pairs]
+_MODULES = [truncation, pairs, leaks]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
