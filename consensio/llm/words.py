@@ -3,9 +3,9 @@
 #: Frequent function words by language; votes for it. Fixed values.
 STOPWORDS = {
     "en": "the of and to is in that for with as on by which are from it at be this was not or an so than were its each after before although would into if when first only one their has have how what".split(),
-    "de": "der die das und ist nicht mit von ein eine einen einer zu im den dem des auf wie für sich wird werden am aus nach über bei ich als auch nur war sind hat haben noch erst aller wurde daß dass oder zum zur".split(),
-    "fr": "le la les des et est une un du que pour dans à par sur qui au aux ce cette en je ne pas se sont avec ou plus ont été a leur il elle nous vous d'abord n'a suit".split(),
-    "es": "el la los las y es una un que para en por con se del al de su lo como más no son fue ha sobre cada sigue esta este sin o según mejor primero donde".split(),
+    "de": "der die das und ist nicht mit von ein eine einen einer zu im den dem des auf wie für sich wird werden am aus nach über bei ich als auch nur war sind hat haben noch erst aller wurde daß dass oder zum zur alle ohne bei bis wenn weil obwohl davon gilt seit zwei kamen je um dieselbe also da so".split(),
+    "fr": "le la les des et est une un du que pour dans à par sur qui au aux ce cette en je ne pas se sont avec ou plus ont été a leur il elle nous vous d'abord n'a suit si tous comme mais entre depuis deux très tout selon sans son sa ses avant après jamais puis fois n'est".split(),
+    "es": "el la los las y es una un que para en por con se del al de su lo como más no son fue ha sobre cada sigue esta este sin o según mejor primero donde hasta desde entre cuando si pero todos muy dos tras aunque además cuales".split(),
 }
 
 #: Phrases by which an answer is declined, in lower case with straight apostrophes. Fixed values.
