@@ -11,6 +11,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,123 +42,144 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for .*:$|while .*:$|if .*:$|else:|elif .*:$|try:|except\b.*:$|@\w|[\w.\[\]'\"]+(?:, ?\w+)* ?[-+*/]?= ?\S|[\w.]+\(.*\)\s*[:;]?$|[})\]]+;?$|//|/\*|#include|```|\{|function |var |let |const |SELECT )")
 #: A line of a list of labels or of a table: a name, a mark and a value.
 _LABEL = re.compile(r"^\s*[-*]?\s*(?:[\w .-]{1,40}[:=\t]\s*\S{1,40}$|[\w.-]+(?:[,;\t|] ?[\w.%+-]*\d[\w.%+-]*)+\s*$)")
-_VOTES: dict[str, str] = {}
+_VOTES: dict[str, list[str]] = {}
 for _k, _v in STOPWORDS.items():
-    for _w in _v:
-        _VOTES[_w] = _VOTES.get(_w, "") + _k
+    for _w in set(_v):
+        _VOTES.setdefault(_w, []).append(_k)
 _ZH = frozenset("的了是在不有和就都也而及与着或被把从这那其之于对")
 
 
+_WEIGHT = dict.fromkeys(_VOTES, 1.0) | dict.fromkeys(_ZH, 2.5)
+_DOMAIN = re.compile(r"\w\.(?:com|org|net|info|biz|io|example|invalid|test|shop|xyz)\b", re.I)
+_NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
+_ENDS = ".!?。！？"
+
+
 def blocks(text: str) -> list[str]:
     """text cut into blocks of about BLOCK_CHARS characters, at ends of lines and sentences; nothing is left out.
 
-    A line without ends of sentences stays whole up to four times that length.
+    A line without ends of sentences is cut at white space after that many characters.
     """
     out: list[str] = []
-    for line in re.split(r"(?:\r\n?|\n)+", text):
+    for line in text.splitlines():
         line = line.strip()
+        while len(line) > BLOCK_CHARS:
+            m = _END.search(line, 60)
+            end = m.end() if m else len(line)
+            if end > BLOCK_CHARS + 100:
+                end = line.find(" ", BLOCK_CHARS)
+                if end < 0:
+                    break
+            out.append(line[:end])
+            line = line[end:].lstrip()
         if line:
-            at = 0
-            for m in re.finditer(r"[.!?](?=\s)|[。！？]|(?<=\S)(?=\s)", line) if len(line) > BLOCK_CHARS else ():
-                end = bool(m[0])
-                if m.end() - at >= (60 if end else BLOCK_CHARS):
-                    out.append(line[at : m.end()].strip())
-                    at = m.end()
-            out.append(line[at:].strip())
-    return [x for x in out if x]
-
-
-def joined(parts: list[str]) -> list[list[str]]:
-    """Short lines in a row that are of one kind, as one block of lines."""
-    out: list[list[str]] = []
+            out.append(line)
+    return out
+
+
+def joined(parts: list[str]) -> list[tuple[str, list[str]]]:
+    """Parts in a row that are of one kind, as one block of that kind, up to twice BLOCK_CHARS characters."""
+    out: list[tuple[str, list[str]]] = []
     size, last = 0, None
     for x in parts:
         kind = _kind(x)
-        if out and kind == last and size + len(x) <= 2 * BLOCK_CHARS:
-            out[-1].append(x)
+        if kind == last and size + len(x) <= 2 * BLOCK_CHARS:
+            out[-1][1].append(x)
             size += len(x)
         else:
-            out.append([x])
+            out.append((kind, [x]))
             size, last = len(x), kind
     return out
 
 
+def _linked(text: str) -> bool:
+    """Whether text may have links; quick."""
+    return "://" in text or "www." in text or "](" in text or "<a" in text or "<A" in text or bool(_DOMAIN.search(text))
+
+
 def _kind(line: str) -> str:
-    if _LABEL.match(line) and not _LINK.search(line):
-        return "label"
-    if _CODE.match(line) and not _LINK.search(line):
-        return "code"
-    if _END.search(line[-3:]) and len(_WORD.findall(line)) > 4 and _function_share(_WORD.findall(line.lower())) >= FUNCTION_WORDS:
-        return "prose"
-    return "other"
+    if line[-1] in _ENDS and not _CODE.match(line):
+        ws = _WORD.findall(line.lower())
+        return "prose" if len(ws) > 4 and _function_share(ws) >= FUNCTION_WORDS else "other"
+    if _linked(line):
+        return "other"
+    return "label" if _LABEL.match(line) else "code" if _CODE.match(line) else "other"
 
 
 def _function_share(ws: list[str]) -> float:
     """Share of function words; characters of Chinese count two and a half times, as a word is longer than one."""
     if not ws:
         return 0.0
-    zh = sum(w in _ZH for w in ws)
-    return (sum(w in _VOTES for w in ws) + 2.5 * zh) / len(ws)
+    return sum(map(_WEIGHT.get, ws, repeat(0.0))) / len(ws)
 
 
 def _keyword(ws: list[str]) -> tuple[tuple[str, str] | None, float]:
     """The pair of content words that recurs most, and the share of all words that it takes up."""
-    pairs = Counter((a, b) for a, b in zip(ws, ws[1:]) if len(a) > 2 and len(b) > 2 and a not in _VOTES and b not in _VOTES)
-    if not pairs:
-        return None, 0.0
-    best, n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
-    return (best, 2 * n / len(ws)) if n >= 3 else (None, 0.0)
-
-
-def _sentences(text: str, keyword: tuple[str, str] | None) -> int:
-    """Sentences; what ends like one but has too few words or function words, or is about the keyword alone, is none."""
-    n, at = 0, 0
-    for m in _END.finditer(text):
-        ws = _WORD.findall(text[at : m.end()])
-        n += len(ws) >= 4 and _function_share(ws) >= FUNCTION_WORDS and not (keyword and keyword in zip(ws, ws[1:]))
-        at = m.end()
-    return n
+    if len(set(ws)) > 0.95 * len(ws) - 4:
+        return None, 0.0  # no pair recurs three times
+    pairs = Counter(zip(ws, ws[1:]))
+    best, share = None, 0.0
+    for (a, b), n in pairs.items():
+        if n >= 3 and 2 * n / len(ws) >= share and len(a) > 2 and len(b) > 2 and a not in _VOTES and b not in _VOTES:
+            if 2 * n / len(ws) > share or best is None or (a, b) < best:
+                best, share = (a, b), 2 * n / len(ws)
+    return best, share
 
 
 def language(ws: list[str]) -> str:
     """Language of lower-case words by votes of their function words; '' if none has any."""
     n = {"en": 0, "de": 0, "fr": 0, "es": 0}
-    for w in ws:
-        for k in n:
-            if k in _VOTES.get(w, ""):
-                n[k] += 1
-    if sum(1 for w in ws if _CJK.match(w)) > 0.3 * max(1, len(ws)):
+    for k in chain.from_iterable(filter(None, map(_VOTES.get, ws))):
+        n[k] += 1
+    if max(n.values()) < 0.1 * len(ws) and sum(1 for w in ws if len(w) == 1 and _CJK.match(w)) > 0.3 * len(ws):
         return "zh"
     best = max(n, key=n.get)
     return best if n[best] else ""
 
 
-def block_facts(lines: list[str]) -> tuple:
-    """Of a block: its bytes, kind, language of its own words, log of its compression ratio, log2 of its bytes, share of links and tags, sentences per word, share of function words, words."""
-    text = "\n".join(lines)
-    links = [m[0] for m in _LINK.finditer(text)]
-    bare = _LINK.sub(" \x01 ", text) if links else text
-    tags = _HASH.findall(bare)
-    bare = _HASH.sub(" \x02 ", bare) if tags else bare
-    ws = _WORD.findall(bare.lower())
-    raw = re.sub(r"\s+", " ", bare).encode()
+def block_facts(kind: str, lines: list[str]) -> tuple:
+    """Of a block: its bytes, kind, language of its own words, log of its compression ratio, log2 of its bytes, share of links and tags, sentences per word, share of function words, words.
+
+    What ends like a sentence but has too few words or function words, or is about the keyword alone, is none.
+    """
+    text = bare = "\n".join(lines)
+    links, tags = [], []
+    if _linked(text):
+        links = [m[0] for m in _LINK.finditer(text)]
+        bare = _LINK.sub(" \x01 ", text)
+    if "#" in bare:
+        tags = _HASH.findall(bare)
+        bare = _HASH.sub(" \x02 ", bare)
+    n_raw = len(text.encode())
     # deflate of few bytes has a fixed cost of about eleven
-    size = max(1, len(zlib.compress(raw, 6)) - 11)
-    ratio = math.log(size / max(1, len(text.encode())))
+    size = max(1, len(zlib.compress(" ".join(bare.split()).encode(), 6)) - 11)
     share = (sum(map(len, links)) + sum(map(len, tags))) / max(1, len(text))
-    figures = sum(c.isdigit() for c in bare) / max(1, len(bare.strip()))
-    kinds = [_kind(x) for x in lines]
-    kind = max(set(kinds), key=kinds.count)
-    if kind == "other" and figures > 0.15:
-        kind = "figures"
+    if kind == "other":
+        core = bare.strip()
+        if len(core) - len(core.translate(_NO_DIGITS)) > 0.15 * max(1, len(core)):
+            kind = "figures"
+    low = bare.lower()
+    segments, at = [], 0
+    for m in _END.finditer(low):
+        segments.append(_WORD.findall(low, at, m.end()))
+        at = m.end()
+    n_ends = len(segments)
+    segments.append(_WORD.findall(low, at))
+    ws = list(chain.from_iterable(segments))
     keyword, stuffed = _keyword(ws)
     stuffed = stuffed >= STUFFED
-    density = _sentences(bare.lower(), keyword if stuffed else None) / max(1, len(ws) + len(links) + len(tags))
+    n, weight = 0, 0.0
+    for i, x in enumerate(segments):
+        share_of = sum(map(_WEIGHT.get, x, repeat(0.0)))
+        weight += share_of
+        if i < n_ends and len(x) >= 4 and share_of >= FUNCTION_WORDS * len(x) and not (stuffed and keyword in zip(x, x[1:])):
+            n += 1
+    density = n / max(1, len(ws) + len(links) + len(tags))
     if stuffed and kind == "prose":
         kind = "other"
-    function = 0.0 if stuffed else _function_share(ws)
+    function = 0.0 if stuffed else weight / max(1, len(ws))
     n_bytes = len(bare.encode()) + sum(min(LINK_BYTES, len(x)) for x in links) + sum(map(len, tags))
-    return n_bytes, kind, language(ws), ratio, int(math.log2(max(1, len(text.encode())))), share, density, function, len(ws)
+    return n_bytes, kind, language(ws), math.log(size / max(1, n_raw)), int(math.log2(max(1, n_raw))), share, density, function, len(ws)
 
 
 _FACTS = "n_bytes int, kind string, lang string, ratio double, size int, share double, density double, function double, n_words int"
@@ -172,7 +194,7 @@ def facts(docs: DataFrame, key: str, text: str) -> DataFrame:
             for k, t in zip(pdf[key], pdf[text]):
                 if not t or not t.strip():
                     continue
-                own = [block_facts(x) for x in joined(blocks(t))]
+                own = [block_facts(*x) for x in joined(blocks(t))]
                 langs = [f[2] for f in own if f[2]]
                 lang = max(sorted(set(langs)), key=langs.count) if langs else ""
                 rows += [(k, lang, *f) for f in own]
