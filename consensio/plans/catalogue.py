@@ -1,7 +1,7 @@
 """All queries outside the llm folder."""
 
-from consensio.plans import hygiene
+from consensio.plans import consensus, hygiene
 
-_MODULES = [hygiene]
+_MODULES = [consensus, hygiene]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
