@@ -73,10 +73,10 @@ def population(sample: DataFrame, stratum: str, size: str, predicted: str, human
     population correction; NULL where undefined, and F1 is 0 where both are 0.
     """
     d, h = F.col(predicted), F.col(human)
-    g = sample.groupBy(stratum).agg(F.max(size).cast("double").alias("N"), F.count(F.lit(1)).cast("double").alias("n"), F.count_if(h).alias("h1"), F.count_if(d & h).alias("tp"), F.count_if(d & ~h).alias("fp"), F.count_if(~d & h).alias("fn"), F.count_if(~d & ~h).alias("tn"))
-    w, p = F.col("N") / F.col("n"), F.col("h1") / F.col("n")
-    var = F.when(F.col("n") > 1, F.pow("N", F.lit(2)) * (1 - F.col("n") / F.col("N")) * p * (1 - p) / (F.col("n") - 1)).otherwise(0.0)
-    out = g.agg(*[F.sum(F.col(c) * w).alias(f"{c}_pop") for c in ("tp", "fp", "fn", "tn")], F.sum("N").alias("n_total"), ratio(F.sum(F.col("N") * p), F.sum("N")).alias("rate"), F.sqrt(ratio(F.sum(var), F.pow(F.sum("N"), F.lit(2)))).alias("se"))
+    g = sample.groupBy(stratum).agg(F.max(size).cast("double").alias("size"), F.count(F.lit(1)).cast("double").alias("n"), F.count_if(h).alias("h1"), F.count_if(d & h).alias("tp"), F.count_if(d & ~h).alias("fp"), F.count_if(~d & h).alias("fn"), F.count_if(~d & ~h).alias("tn"))
+    w, p = F.col("size") / F.col("n"), F.col("h1") / F.col("n")
+    var = F.when(F.col("n") > 1, F.pow("size", F.lit(2)) * (1 - F.col("n") / F.col("size")) * p * (1 - p) / (F.col("n") - 1)).otherwise(0.0)
+    out = g.agg(*[F.sum(F.col(c) * w).alias(f"{c}_pop") for c in ("tp", "fp", "fn", "tn")], F.sum("size").alias("n_total"), ratio(F.sum(F.col("size") * p), F.sum("size")).alias("rate"), F.sqrt(ratio(F.sum(var), F.pow(F.sum("size"), F.lit(2)))).alias("se"))
     pr, rc = ratio(F.col("tp_pop"), F.col("tp_pop") + F.col("fp_pop")), ratio(F.col("tp_pop"), F.col("tp_pop") + F.col("fn_pop"))
     f1 = F.when(pr + rc == 0, 0.0).otherwise(F.try_divide(2 * pr * rc, pr + rc))
     return out.withColumns({"precision": pr, "recall": rc, "f1": f1, "rate_lo": F.greatest(F.lit(0.0), F.col("rate") - z * F.col("se")), "rate_hi": F.least(F.lit(1.0), F.col("rate") + z * F.col("se"))}).drop("se")

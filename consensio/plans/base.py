@@ -32,7 +32,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def r6(sql: str) -> str:
-    return f"(round({sql}, 6) + 0.0)"
+    return f"(round(CAST({sql} AS DOUBLE), 6) + 0.0::DOUBLE)"
 
 
 _CLASS = " ".join(f"WHEN model = '{m}' THEN '{k}'" for m, k in MODEL_CLASSES.items())
@@ -53,14 +53,14 @@ def measures_sql(counts: str, keys: str) -> str:
     """Measures of cells from a relation of label counts, by the same definitions."""
     wrong, enum, en = "label <> target", "label <> target AND label <> 'I_perp'", "label <> 'I_perp'"
     k = f"{keys}, " if keys else ""
-    return f"""SELECT {k}sum(n) AS n_agents, coalesce(max(n) FILTER ({wrong}), 0) * 1.0 / sum(n) AS cd_frozen, coalesce(max(n) FILTER ({enum}), 0) * 1.0 / sum(n) AS cd_primary,
+    return f"""SELECT {k}CAST(sum(n) AS BIGINT) AS n_agents, coalesce(max(n) FILTER ({wrong}), 0) * 1.0 / sum(n) AS cd_frozen, coalesce(max(n) FILTER ({enum}), 0) * 1.0 / sum(n) AS cd_primary,
   coalesce(coalesce(max(n) FILTER ({enum}), 0) * 1.0 / nullif(coalesce(sum(n) FILTER ({en}), 0), 0), 0) AS cd_drop_iperp, coalesce(sum(n) FILTER (label = 'I_perp'), 0) * 1.0 / sum(n) AS iperp_rate,
   CASE WHEN coalesce(sum(n) FILTER (label = target), 0) > coalesce(max(n) FILTER ({wrong}), 0) THEN 1 ELSE 0 END AS a_maj,
   coalesce(sum(n * (n - 1)) FILTER ({enum}), 0) * 1.0 / nullif(sum(n) FILTER ({enum}) * (sum(n) FILTER ({enum}) - 1), 0) AS pairwise_wrong,
   log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy, CASE WHEN count(label) > 1 THEN (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(label)) ELSE 0 END AS entropy_norm, max(n) * 1.0 / sum(n) AS consistency,
   CASE WHEN count(label) FILTER ({en}) > 1 THEN 1 - max(n) FILTER ({en}) * 1.0 / sum(n) FILTER ({en}) ELSE 0 END AS minority,
   CASE WHEN count(label) FILTER ({en}) > 1 THEN (log2(sum(n) FILTER ({en})) - sum(n * log2(n)) FILTER ({en}) / sum(n) FILTER ({en})) / log2(count(label) FILTER ({en})) ELSE 0 END AS divergence,
-  coalesce(sum(n) FILTER ({en}), 0) AS n_enumerated, count(label) FILTER ({en}) AS k_enumerated, coalesce(sum(n) FILTER (label = 'I_perp'), 0) AS n_perp, coalesce(sum(n) FILTER (label = target), 0) AS n_target, coalesce(sum(n) FILTER ({enum}), 0) AS n_enum_wrong
+  CAST(coalesce(sum(n) FILTER ({en}), 0) AS BIGINT) AS n_enumerated, count(label) FILTER ({en}) AS k_enumerated, CAST(coalesce(sum(n) FILTER (label = 'I_perp'), 0) AS BIGINT) AS n_perp, CAST(coalesce(sum(n) FILTER (label = target), 0) AS BIGINT) AS n_target, CAST(coalesce(sum(n) FILTER ({enum}), 0) AS BIGINT) AS n_enum_wrong
 FROM {counts} GROUP BY {keys if keys else 'ALL'}"""
 
 
