@@ -67,6 +67,16 @@ ABSTENTION = [
 GUARDED = [r"\bwhich\s+interpretation\s+is\s+intended\b", r"\b(?:do\s+not|don['']t)\s+know\s+which\b"]
 RESOLVED = r"\b(?:clearly\s+states?|unambiguously\s+(?:requires?|states?|demands?|indicates?))\b|\bthe\s+answer\s+is\s+I\w+|\bso\s+the\s+answer\s+is\b"
 COMMIT = "CONFIDENT_COMMIT"
+#: Of each category, words one of which every match of its patterns holds; a text without them is not searched.
+NEEDED = {
+    "EXPLICIT_ABSTENTION": ["abstain", "refuse", "decline", "cannot", "able", "won"],
+    "CANNOT_DETERMINE": ["determine", "know", "tell", "say", "decide", "conclude", "ascertain", "identify", "unknowable", "undecidable", "inferred"],
+    "NEED_MORE_INFO": ["information", "context", "detail", "data", "clarification", "specification"],
+    "WHICH_MEAN": ["mean", "referring", "clarify", "specify", "indicate", "asking", "interpretation"],
+    "CLARIFICATION_QUESTION": ["?"],
+    "AMBIGUITY_FLAG": ["ambiguous", "unclear", "vague", "underspecified", "interpretation", "clear", "obvious"],
+    "ASSUMING": ["assum", "absence"],
+}
 #: Words that say nothing about an axis. Fixed values.
 AXIS_STOPWORDS = "a an the of to for in on at by is are be do does which what when where how that this these those or and it its with as your you answer value single should would could may might rounded decimal places returns return function given between from into per each".split()
 # What makes a dimension one of format or tooling: words, phrases of its name, and languages. Fixed values.
@@ -75,6 +85,13 @@ FORMAT_PHRASES = ["programming language", "output format", "output encoding", "f
 _FLAGS = "(?iuUd)"
 
 
+def _may(text: Column, name: str) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for w in NEEDED[name]:
+        out = out | low.contains(w)
+    return out
+
+
 def abstention_signal(text: Column) -> Column:
     """Name of the first category with a pattern that is found; CONFIDENT_COMMIT for none and for null and empty texts."""
     resolved = text.rlike(_FLAGS + RESOLVED)
@@ -85,7 +102,7 @@ def abstention_signal(text: Column) -> Column:
         for p in patterns:
             if p in GUARDED:
                 hit = hit | (text.rlike(_FLAGS + p) & ~resolved)
-        out = out.when(hit, name)
+        out = out.when(_may(text, name) & hit, name)
     return out.otherwise(COMMIT)
 
 
