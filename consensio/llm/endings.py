@@ -102,7 +102,7 @@ def _prose(body: str) -> float:
         return WHOLE if line[-1] in "%*.!" or "=" in line else LIKELY_WHOLE
     m = _RESULT.match(line)
     if m:
-        if m[1] and not m[3]:
+        if line.count("**") % 2 or (m[1] and not m[3]):
             return CUT
         whole = line.rstrip("*").endswith((".", "。")) or bool(m[3]) or bool(re.search(r"\.\d\d$|%$", m[2]))
         return WHOLE if whole else LIKELY_WHOLE
@@ -124,6 +124,8 @@ def _prose(body: str) -> float:
         return CUT if len(line) > 4 else OPEN
     if "\n" not in body and (len(words) <= 2 or _BARE.match(line)):
         return LIKELY_WHOLE - 2 if len(words) <= 2 else LIKELY_WHOLE
+    if len(words) == 1 and body[: -len(line)].endswith("\n\n") and _BARE.match(line) and any(c.isdigit() for c in line):
+        return LIKELY_WHOLE  # a value in a paragraph of its own
     if len(words) == 1 and line[-1] in _CLOSERS and line[0] in "*_`\"'([{<":
         return WHOLE
     if line[-1] in ")]}\"'" and re.match(r"^[\[({\"']", line):
@@ -170,7 +172,7 @@ def ending_evidence(text: str | None) -> float | None:
         return _code(rest)
     if not fences and rest.startswith(("{", "[")):
         return CUT if _delimiters(rest) else WHOLE
-    return _prose(s)
+    return _prose(rest or s)
 
 
 @F.pandas_udf(DoubleType())

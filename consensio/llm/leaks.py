@@ -70,6 +70,8 @@ class Items:
         self.seqs = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(t)], np.int32) for _, t in rows]
         self.start = np.cumsum([0, *(len(s) + SEED for s in self.seqs)])
         self.flat = np.concatenate([np.concatenate([s, np.zeros(SEED, np.int32)]) for s in self.seqs]) if rows else np.zeros(0, np.int32)
+        # a shorter item is looked for from a single seed on
+        self.least = np.array([MIN_SEEDS if len(s) >= PASSAGE_WORDS else 1 for s in self.seqs], np.int64)
         self.figure = np.array([False, *(any(c.isdigit() for c in w) for w in self.number)])
         self.owner = np.repeat(np.arange(len(rows)), np.diff(self.start))
 
@@ -181,8 +183,8 @@ def _extend(items: Items, docs: list[np.ndarray], start: np.ndarray, array: Suff
     pair = doc * np.int64(len(items.ids)) + item
     order = np.argsort(pair, kind="stable")
     pair, p, q = pair[order], p[order], q[order]
-    enough = np.bincount(np.unique(pair, return_inverse=True)[1])
-    keep = np.repeat(enough >= MIN_SEEDS, enough)
+    kinds, enough = np.unique(pair, return_counts=True)
+    keep = np.repeat(enough >= items.least[kinds % len(items.ids)], enough)
     pair, p, q = pair[keep], p[keep], q[keep]
     if not len(pair):
         return
@@ -192,7 +194,7 @@ def _extend(items: Items, docs: list[np.ndarray], start: np.ndarray, array: Suff
     order = np.argsort(diag, kind="stable")
     diag, pair, p, q = diag[order], pair[order], p[order], q[order]
     near = np.searchsorted(diag, diag + DRIFT, "right") - np.searchsorted(diag, diag - DRIFT, "left")
-    keep = near >= MIN_SEEDS
+    keep = near >= items.least[pair % len(items.ids)]
     diag, pair, p, q = diag[keep], pair[keep], p[keep], q[keep]
     done = set()
     for s, e in _groups(pair):
@@ -263,7 +265,8 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     Items are a stated set of queries: they are read in blocks of BLOCK_CHARS characters, and every block
     is searched in all documents. Documents are not shuffled; a shard is what one task has read, up to
     SHARD_WORDS words at a time. Null or blank texts and items match nothing; repeated documents
-    each match; an item of fewer than SEED words is not searched. The two keys come out under their own names.
+    each match; an item of fewer than SEED words is not searched, and one of fewer than PASSAGE_WORDS is found
+    where SEED of its words in a row are kept. The two keys come out under their own names.
     """
     kinds = dict(docs.dtypes)
 
