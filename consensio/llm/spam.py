@@ -99,8 +99,7 @@ def _linked(text: str) -> bool:
 
 def _kind(line: str) -> str:
     if line[-1] in _ENDS and not _CODE.match(line):
-        ws = _WORD.findall(line.lower())
-        return "prose" if len(ws) > 4 and _function_share(ws) >= FUNCTION_WORDS else "other"
+        return "prose"  # until its words are known
     if _linked(line):
         return "other"
     return "label" if _LABEL.match(line) else "code" if _CODE.match(line) else "other"
@@ -175,9 +174,9 @@ def block_facts(kind: str, lines: list[str]) -> tuple:
         if i < n_ends and len(x) >= 4 and share_of >= FUNCTION_WORDS * len(x) and not (stuffed and keyword in zip(x, x[1:])):
             n += 1
     density = n / max(1, len(ws) + len(links) + len(tags))
-    if stuffed and kind == "prose":
-        kind = "other"
     function = 0.0 if stuffed else weight / max(1, len(ws))
+    if kind == "prose" and (function < FUNCTION_WORDS or len(ws) <= 4):
+        kind = "other"
     n_bytes = len(bare.encode()) + sum(min(LINK_BYTES, len(x)) for x in links) + sum(map(len, tags))
     return n_bytes, kind, language(ws), math.log(size / max(1, n_raw)), int(math.log2(max(1, n_raw))), share, density, function, len(ws)
 
