@@ -61,6 +61,34 @@ def difference_ci(a: DataFrame, c: DataFrame, key: str, value: str, b: int = 200
     return _one(point.agg((F.avg("x") - F.avg("y")).alias("point")), index_ci(x.join(y, "b").select((F.col("mean") - F.col("other")).alias("d")), "d"))
 
 
+def interaction_ci(groups: list[DataFrame], key: str, value: str, b: int = 2000, seed: int = 42) -> DataFrame:
+    """point, lo, hi of (a - c) - (d - e) of the means of four independent groups."""
+    if len(groups) != 4:
+        raise ValueError("four groups")
+    signs = [1, -1, -1, 1]
+    reps, point = None, None
+    for i, (g, s) in enumerate(zip(groups, signs)):
+        m = resampled_means(g, key, value, b, seed + i).select("b", (F.col("mean") * s).alias(f"m{i}"))
+        reps = m if reps is None else reps.join(m, "b")
+        p = g.agg((F.avg(value) * s).alias(f"p{i}"))
+        point = p if point is None else _one(point, p)
+    total = F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3")
+    return _one(point.select((F.col("p0") + F.col("p1") + F.col("p2") + F.col("p3")).alias("point")), index_ci(reps.select(total.alias("d")), "d"))
+
+
+def auroc_ci(items: DataFrame, level: str, score: str, positive: str, b: int = 2000, seed: int = 42) -> DataFrame:
+    """lo, hi of the area under the curve when clusters of items are drawn anew; drawn clusters weight their items.
+
+    Replicates without both classes are left out. Weighted counts are folded to distinct scores, as in auroc.
+    """
+    w = cluster_weights(items, level, b, seed, "w")
+    own = items.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).select(level, score, positive).join(w, level)
+    per = own.groupBy("b", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("w"))).alias("q"))
+    below = F.coalesce(F.sum("q").over(W.partitionBy("b").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    a = per.withColumn("wins", F.col("p") * (below + F.col("q") / 2.0)).groupBy("b").agg(ratio(F.sum("wins"), F.sum("p") * F.sum("q")).alias("a"))
+    return index_ci(a, "a")
+
+
 def _one(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two frames of one row side by side."""
     return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")

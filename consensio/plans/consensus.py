@@ -219,6 +219,17 @@ def boot_diff_ci(spark, sf):
     return R.difference_ci(items.where("regime = 'H1_external'"), items.where("regime = 'H2_derivable'"), "task", "v", B, SEED)
 
 
+_FOUR = [("code_spec", "H1_external"), ("code_spec", "H2_derivable"), ("policy_qa", "H1_external"), ("policy_qa", "H2_derivable")]
+_SUM = "m0.mean - m1.mean - m2.mean + m3.mean"
+_ILO, _IHI = _index(_SUM)
+
+
+@book(f"{CELLS}, b AS (SELECT unnest(range({B})) AS b), di AS (SELECT f.domain, c.regime, c.task, avg(cd_primary) AS v FROM cells c JOIN task_facts f ON f.task = c.task GROUP BY ALL), {', '.join(f"n{i} AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM di WHERE domain = '{d}' AND regime = '{r}'), m{i} AS ({_means(SEED + i, f'n{i}')})" for i, (d, r) in enumerate(_FOUR))} SELECT {r6('(SELECT avg(v) FROM n0) - (SELECT avg(v) FROM n1) - (SELECT avg(v) FROM n2) + (SELECT avg(v) FROM n3)')} AS point, {r6(_ILO)} AS lo, {r6(_IHI)} AS hi FROM m0 JOIN m1 USING (b) JOIN m2 USING (b) JOIN m3 USING (b)")
+def boot_interaction_ci(spark, sf):
+    items = cells(tidy(spark, sf), [*CELL, "domain"]).groupBy("domain", "regime", "task").agg(F.avg("cd_primary").alias("v"))
+    return R.interaction_ci([items.where((F.col("domain") == d) & (F.col("regime") == r)) for d, r in _FOUR], "task", "v", B, SEED)
+
+
 def _weights(level: str, seed: int, name: str) -> str:
     n = f"(SELECT {level}, row_number() OVER (ORDER BY {level}) - 1 AS i FROM (SELECT DISTINCT {level} FROM mc WHERE {level} IS NOT NULL))"
     return f"SELECT b.b, l.{level}, count(*) AS {name} FROM b, {n} s JOIN {n} l ON l.i = {draw_sql(str(seed), 'b.b', 's.i')} % (SELECT count(*) FROM {n}) GROUP BY ALL"

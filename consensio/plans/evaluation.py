@@ -8,7 +8,9 @@ from consensio.functions.keys import sql_norm_key as nk
 from consensio.operators import evaluation as E
 from consensio.operators.detector import surfacing
 from consensio.operators.labels import cells, ratio
-from consensio.plans.base import CELLS, TIDY, Book, measures_sql, r6
+from consensio.operators.resample import auroc_ci
+from consensio.operators.studies import gold_stratum, recovery, recovery_gate
+from consensio.plans.base import CELLS, TIDY, Book, draw_sql, measures_sql, r6
 from consensio.sources.runs import tidy
 from consensio.sources.tables import table
 
@@ -256,6 +258,38 @@ def ensemble_diagnostics(spark, sf):
     return cells(tidy(spark, sf)).groupBy("method", "model_class").agg(F.avg("cd_frozen").alias("cd_frozen"), F.avg("cd_primary").alias("cd_primary"), F.avg("iperp_rate").alias("iperp_rate"), ratio(F.sum("n_target"), F.sum("n_agents")).alias("resolve_rate"))
 
 
+_B, _SEED = 20, 42
+
+
+@book(f"""{SURFACING}, b AS (SELECT unnest(range({_B})) AS b), nu AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS i FROM (SELECT DISTINCT task FROM items)),
+w AS (SELECT b.b, l.task, count(*) AS w FROM b, nu s JOIN nu l ON l.i = {draw_sql(str(_SEED), 'b.b', 's.i')} % (SELECT count(*) FROM nu) GROUP BY ALL),
+per AS (SELECT b, score, coalesce(sum(w) FILTER (positive), 0) AS p, coalesce(sum(w) FILTER (NOT positive), 0) AS q FROM items JOIN w USING (task) WHERE positive IS NOT NULL GROUP BY ALL),
+x AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per),
+a AS (SELECT b, sum(p * (below + q / 2.0)) / nullif(sum(p) * sum(q), 0) AS a FROM x GROUP BY ALL), y AS (SELECT list_sort(list(a)) AS s, count(*) AS n FROM a WHERE a IS NOT NULL)
+SELECT {r6('s[greatest(0, CAST(floor(n * 0.025) AS INT) - 1) + 1]')} AS lo, {r6('s[least(n - 1, CAST(floor(n * 0.975) AS INT)) + 1]')} AS hi FROM y""")
+def auroc_boot(spark, sf):
+    return auroc_ci(_items(spark, sf), "task", "score", "positive", _B, _SEED)
+
+
+_RECOVERY = f"{TIDY}, rc AS (SELECT task, regime, avg(CASE WHEN label = target THEN 1.0 ELSE 0.0 END) AS recovery, count(*) AS n FROM tidy WHERE ambiguity_k >= 1 GROUP BY ALL)"
+
+
+@book(f"{_RECOVERY} SELECT task, regime, {r6('recovery')} AS recovery, n FROM rc")
+def recovery_by_item(spark, sf):
+    return recovery(tidy(spark, sf).where("ambiguity_k >= 1"))
+
+
+@book(f"{_RECOVERY}, m AS (SELECT avg(recovery) FILTER (regime = 'H2_derivable') AS h2, avg(recovery) FILTER (regime = 'H1_external') AS h1 FROM rc) SELECT {r6('h2')} AS mean_h2, {r6('h1')} AS mean_h1, CASE WHEN h2 >= 0.6 AND h1 <= 0.4 AND h2 - h1 >= 0.2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m")
+def recovery_verdict(spark, sf):
+    return recovery_gate(recovery(tidy(spark, sf).where("ambiguity_k >= 1")))
+
+
+@book(f"SELECT {nk('id')} AS task, CASE WHEN len(list_distinct(list_filter(list_transform(interpretations, lambda e: e.gold_check), lambda e: e IS NOT NULL))) >= 2 THEN 'AMB+' WHEN coalesce(len(key_questions), 0) > 0 THEN 'NON-DISC' ELSE 'AMB-' END AS stratum FROM tasks")
+def gold_strata(spark, sf):
+    checks = F.filter("interpretations.gold_check", lambda e: e.isNotNull())
+    return table(spark, sf, "tasks").select(norm_key("id").alias("task"), gold_stratum(F.size(F.array_distinct(checks)), F.col("key_questions")).alias("stratum"))
+
+
 @book()
 def reasoning_stripped(spark, sf):
     """Characters of answers with and without reasoning, by model."""
