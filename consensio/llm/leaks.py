@@ -268,6 +268,8 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     each match; an item of fewer than SEED words is not searched, and one of fewer than PASSAGE_WORDS is found
     where SEED of its words in a row are kept. The two keys come out under their own names.
     """
+    if key == item_key:
+        raise ValueError(f"both keys are named {key}")
     kinds = dict(docs.dtypes)
 
     def block(rows: list[tuple[str, str]]) -> DataFrame:

@@ -81,7 +81,7 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacities: list[tuple[str, in
     """
     groups = max(1, -(-sizes.count() // group_docs))
     packs = F.explode(F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in capacities]))
-    items = sizes.where(F.col(tokens) > 0).select(F.col(key), F.col(tokens).alias("total"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups)).cast("int").alias("grp"), packs.alias("p")).select(key, "total", "grp", "p.*")
+    items = sizes.where(F.col(tokens) > 0).select(F.col(key).alias("_key"), F.col(tokens).alias("total"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups)).cast("int").alias("grp"), packs.alias("p")).select("_key", "total", "grp", "p.*")
     kind = dict(sizes.dtypes)[key]
 
     def run(group, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +91,7 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacities: list[tuple[str, in
         row = np.repeat(np.arange(len(total)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(capacity, total[row] - piece * capacity)
-        keys = pdf[key].to_numpy()[row]
+        keys = pdf["_key"].to_numpy()[row]
         order = np.lexsort((piece, keys, -size))
         box = first_fit_decreasing(size[order], int(capacity))
         return pd.DataFrame({"pack_name": name, key: keys[order], "piece": piece[order].astype(np.int32), "tokens": size[order], "container": int(grp) * 2**32 + box})

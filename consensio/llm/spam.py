@@ -185,21 +185,21 @@ _FACTS = "n_bytes int, kind string, lang string, ratio double, size int, share d
 
 
 def facts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Facts of all blocks of all documents, with the language of the document."""
+    """Facts of all blocks of all documents, with the language of the document; the key is in `_key`."""
 
     def run(frames):
         for pdf in frames:
             rows = []
-            for k, t in zip(pdf[key], pdf[text]):
+            for k, t in zip(pdf["_key"], pdf["_text"]):
                 if not t or not t.strip():
                     continue
                 own = [block_facts(*x) for x in joined(blocks(t))]
                 langs = [f[2] for f in own if f[2]]
                 lang = max(sorted(set(langs)), key=langs.count) if langs else ""
                 rows += [(k, lang, *f) for f in own]
-            yield pd.DataFrame(rows, columns=[key, "doc_lang", "n_bytes", "kind", "lang", "ratio", "size", "share", "density", "function", "n_words"])
+            yield pd.DataFrame(rows, columns=["_key", "doc_lang", "n_bytes", "kind", "lang", "ratio", "size", "share", "density", "function", "n_words"])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, doc_lang string, {_FACTS}")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"_key {dict(docs.dtypes)[key]}, doc_lang string, {_FACTS}")
 
 
 def spam(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -222,8 +222,8 @@ def spam(docs: DataFrame, key: str, text: str) -> DataFrame:
     listed = F.col("share") > 0.3
     words = F.col("kind").isin("other") & (F.col("n_words") > 1) & few & (z < REDUNDANT)
     bad = (listed & (F.col("function") < 0.2) & (F.col("density") < 2 * SENTENCE_DENSITY)) | words
-    total = b.groupBy(key).agg(F.sum(F.when(bad, F.col("n_bytes")).otherwise(0)).alias("bad"), F.sum("n_bytes").alias("n_bytes"))
-    return total.select(key, F.round(F.try_divide("bad", "n_bytes"), 6).alias("spam_share"))
+    total = b.groupBy("_key").agg(F.sum(F.when(bad, F.col("n_bytes")).otherwise(0)).alias("bad"), F.sum("n_bytes").alias("n_bytes"))
+    return total.select(F.col("_key").alias(key), F.round(F.try_divide("bad", "n_bytes"), 6).alias("spam_share"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -252,6 +252,14 @@ def test_spam(spark):
     assert len(got) == len(bad) + len(good)
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, PROSE, 5), (2, None, 0)], "kind bigint, doc_lang string, total bigint")
+    assert [r["kind"] for r in spam.spam(df, "kind", "doc_lang").collect()] == [1]
+    assert [r["kind"] for r in packing.pack(df, "kind", "total", [("a", 10)]).collect()] == [1]
+    with pytest.raises(ValueError, match="kind"):
+        leaks.leaked(df, "kind", "doc_lang", df, "kind", "doc_lang")
+
+
 def test_blocks_keep_everything():
     rng = random.Random(8)
     for _ in range(50):
