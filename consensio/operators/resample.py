@@ -23,6 +23,11 @@ def replicates(df: DataFrame, b: int) -> DataFrame:
     return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
 
 
+def placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the rows of a cell in one of many small parts, so that replicates made of them are counted by cell without another shuffle."""
+    return df.repartition(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def percentile_ci(reps: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """Linear percentiles of the replicates."""
     a = (1 - level) / 2
@@ -149,7 +154,8 @@ def redrawn_labels(agents: DataFrame, pool: DataFrame, model: str, uid: str, b:
     c = pool.groupBy(model, "label").agg(F.count(F.lit(1)).alias("n"))
     up = W.partitionBy(model).orderBy("label").rowsBetween(W.unboundedPreceding, 0)
     c = c.withColumn("upto", F.sum("n").over(up)).groupBy(model).agg(F.sort_array(F.collect_list(F.struct("upto", "label"))).alias("steps"), F.max("upto").alias("total"))
-    own = replicates(agents.drop("label"), b).join(c, model)
+    # joined before rows are multiplied
+    own = replicates(agents.drop("label").join(F.broadcast(c), model), b)
     at = F.pmod(draw(F.lit(seed), F.col("b"), F.col(uid)), F.col("total"))
     return own.withColumn("_at", at).withColumn("label", F.get(F.filter("steps", lambda s: s["upto"] > F.col("_at")), F.lit(0))["label"]).drop("_at", "steps", "total")
 
@@ -164,4 +170,4 @@ def null_gap(real: DataFrame, null: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(n, on).drop(*[f"_n_{k}" for k in by]).withColumn("delta", F.col("observed") - F.col("null_mean"))
 
 
-__all__ = ["cluster_weights", "difference_ci", "draw", "index_ci", "mean_ci", "null_gap", "percentile_ci", "ratio", "redrawn_labels", "replicates", "resampled_means", "shuffled_labels", "two_way_means", "uniform_labels"]
+__all__ = ["cluster_weights", "difference_ci", "draw", "index_ci", "mean_ci", "null_gap", "percentile_ci", "placed", "ratio", "redrawn_labels", "replicates", "resampled_means", "shuffled_labels", "two_way_means", "uniform_labels"]

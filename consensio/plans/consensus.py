@@ -13,8 +13,8 @@ from consensio.sources.runs import tidy
 
 book = Book()
 _M = ["cd_frozen", "cd_primary", "cd_drop_iperp", "iperp_rate", "entropy", "entropy_norm", "consistency", "minority", "divergence"]
-#: Replicates and seed of the queries below.
-B, SEED = 20, 42
+#: Seed of the queries below, and replicates as in the reference: means of items, verdicts and the independent counterfactual, permutations of the gates.
+SEED, B_ITEMS, B_VERDICT, B_NULL = 42, 2000, 500, 200
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +189,7 @@ def pilot_summary(spark, sf):
 
 # resampling
 
-_ITEMS = f"{CELLS}, items AS (SELECT task, avg(cd_primary) AS v FROM cells WHERE regime = 'H1_external' GROUP BY ALL), numbered AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM items), b AS (SELECT unnest(range({B})) AS b)"
+_ITEMS = f"{CELLS}, items AS (SELECT task, avg(cd_primary) AS v FROM cells WHERE regime = 'H1_external' GROUP BY ALL), numbered AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM items), b AS (SELECT unnest(range({B_ITEMS})) AS b)"
 
 
 def _means(seed: int, source: str) -> str:
@@ -207,7 +207,7 @@ _LO, _HI = _index("mean")
 @book(f"{_ITEMS}, m AS ({_means(SEED, 'numbered')}) SELECT {r6('(SELECT avg(v) FROM items)')} AS point, {r6(_LO)} AS lo, {r6(_HI)} AS hi FROM m")
 def boot_mean_ci(spark, sf):
     items = _cells(spark, sf).where("regime = 'H1_external'").groupBy("task").agg(F.avg("cd_primary").alias("v"))
-    return R.mean_ci(items, "task", "v", B, SEED)
+    return R.mean_ci(items, "task", "v", B_ITEMS, SEED)
 
 
 _DLO, _DHI = _index("x.mean - y.mean")
@@ -216,7 +216,7 @@ _DLO, _DHI = _index("x.mean - y.mean")
 @book(f"{_ITEMS}, items2 AS (SELECT task, avg(cd_primary) AS v FROM cells WHERE regime = 'H2_derivable' GROUP BY ALL), numbered2 AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM items2), m AS ({_means(SEED, 'numbered')}), m2 AS ({_means(SEED + 1, 'numbered2')}) SELECT {r6('(SELECT avg(v) FROM items) - (SELECT avg(v) FROM items2)')} AS point, {r6(_DLO)} AS lo, {r6(_DHI)} AS hi FROM m x JOIN m2 y USING (b)")
 def boot_diff_ci(spark, sf):
     items = _cells(spark, sf).groupBy("task", "regime").agg(F.avg("cd_primary").alias("v"))
-    return R.difference_ci(items.where("regime = 'H1_external'"), items.where("regime = 'H2_derivable'"), "task", "v", B, SEED)
+    return R.difference_ci(items.where("regime = 'H1_external'"), items.where("regime = 'H2_derivable'"), "task", "v", B_ITEMS, SEED)
 
 
 _FOUR = [("code_spec", "H1_external"), ("code_spec", "H2_derivable"), ("policy_qa", "H1_external"), ("policy_qa", "H2_derivable")]
@@ -224,10 +224,10 @@ _SUM = "m0.mean - m1.mean - m2.mean + m3.mean"
 _ILO, _IHI = _index(_SUM)
 
 
-@book(f"{CELLS}, b AS (SELECT unnest(range({B})) AS b), di AS (SELECT f.domain, c.regime, c.task, avg(cd_primary) AS v FROM cells c JOIN task_facts f ON f.task = c.task GROUP BY ALL), {', '.join(f"n{i} AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM di WHERE domain = '{d}' AND regime = '{r}'), m{i} AS ({_means(SEED + i, f'n{i}')})" for i, (d, r) in enumerate(_FOUR))} SELECT {r6('(SELECT avg(v) FROM n0) - (SELECT avg(v) FROM n1) - (SELECT avg(v) FROM n2) + (SELECT avg(v) FROM n3)')} AS point, {r6(_ILO)} AS lo, {r6(_IHI)} AS hi FROM m0 JOIN m1 USING (b) JOIN m2 USING (b) JOIN m3 USING (b)")
+@book(f"{CELLS}, b AS (SELECT unnest(range({B_ITEMS})) AS b), di AS (SELECT f.domain, c.regime, c.task, avg(cd_primary) AS v FROM cells c JOIN task_facts f ON f.task = c.task GROUP BY ALL), {', '.join(f"n{i} AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM di WHERE domain = '{d}' AND regime = '{r}'), m{i} AS ({_means(SEED + i, f'n{i}')})" for i, (d, r) in enumerate(_FOUR))} SELECT {r6('(SELECT avg(v) FROM n0) - (SELECT avg(v) FROM n1) - (SELECT avg(v) FROM n2) + (SELECT avg(v) FROM n3)')} AS point, {r6(_ILO)} AS lo, {r6(_IHI)} AS hi FROM m0 JOIN m1 USING (b) JOIN m2 USING (b) JOIN m3 USING (b)")
 def boot_interaction_ci(spark, sf):
     items = cells(tidy(spark, sf), [*CELL, "domain"]).groupBy("domain", "regime", "task").agg(F.avg("cd_primary").alias("v"))
-    return R.interaction_ci([items.where((F.col("domain") == d) & (F.col("regime") == r)) for d, r in _FOUR], "task", "v", B, SEED)
+    return R.interaction_ci([items.where((F.col("domain") == d) & (F.col("regime") == r)) for d, r in _FOUR], "task", "v", B_ITEMS, SEED)
 
 
 def _weights(level: str, seed: int, name: str) -> str:
@@ -235,7 +235,7 @@ def _weights(level: str, seed: int, name: str) -> str:
     return f"SELECT b.b, l.{level}, count(*) AS {name} FROM b, {n} s JOIN {n} l ON l.i = {draw_sql(str(seed), 'b.b', 's.i')} % (SELECT count(*) FROM {n}) GROUP BY ALL"
 
 
-@book(f"""{TIDY}, b AS (SELECT unnest(range({B})) AS b), mc AS (SELECT {CELL_KEYS}, model, target, label, count(*) AS n FROM tidy WHERE regime = 'H1_external' AND model IS NOT NULL GROUP BY ALL),
+@book(f"""{TIDY}, b AS (SELECT unnest(range({B_VERDICT})) AS b), mc AS (SELECT {CELL_KEYS}, model, target, label, count(*) AS n FROM tidy WHERE regime = 'H1_external' AND model IS NOT NULL GROUP BY ALL),
 tw AS ({_weights('task', SEED, 'tw')}), mw AS ({_weights('model', SEED + 1, 'mw')}),
 wc AS (SELECT mc.* EXCLUDE (model, n), tw.b, max(tw) AS weight, sum(n * mw) AS n FROM mc JOIN mw USING (model) JOIN tw ON tw.task = mc.task AND tw.b = mw.b GROUP BY ALL),
 cm AS ({measures_sql('wc', f'b, weight, {CELL_KEYS}')}),
@@ -251,7 +251,7 @@ def cluster_boot_h1a(spark, sf):
 
         return own.groupBy("b").agg((mean(False) - mean(True)).alias("d"))
 
-    reps = R.two_way_means(label_counts(t, [*CELL, "model"]), CELL, gap, B, SEED)
+    reps = R.two_way_means(label_counts(t, [*CELL, "model"]), CELL, gap, B_VERDICT, SEED)
     return R.percentile_ci(reps, "d").withColumn("verdict", V.verdict(F.col("lo"), F.col("hi"), at_least_zero=True))
 
 
@@ -262,34 +262,35 @@ def _gap_sql(by: str) -> str:
     return f"SELECT a.{by}, {r6('a.observed')} AS observed, a.n_cells, {r6('n.null_mean')} AS null_mean, {r6('a.observed - n.null_mean')} AS delta FROM (SELECT {by}, avg(cd_primary) AS observed, count(*) AS n_cells FROM real_cells GROUP BY ALL) a JOIN (SELECT {by}, avg(cd_primary) AS null_mean FROM null_cells GROUP BY ALL) n ON a.{by} IS NOT DISTINCT FROM n.{by}"
 
 
-_REAL = f"{TIDY}, b AS (SELECT unnest(range({B})) AS b), ag AS (SELECT * FROM tidy WHERE regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL), rc AS (SELECT {CELL_KEYS}, target, label, count(*) AS n FROM ag GROUP BY ALL), real_cells AS ({measures_sql('rc', CELL_KEYS)})"
+def _real(b: int) -> str:
+    return f"{TIDY}, b AS (SELECT unnest(range({b})) AS b), ag AS (SELECT * FROM tidy WHERE regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL), rc AS (SELECT {CELL_KEYS}, target, label, count(*) AS n FROM ag GROUP BY ALL), real_cells AS ({measures_sql('rc', CELL_KEYS)})"
 
 
-@book(f"""{_REAL}, slots AS (SELECT ag.* EXCLUDE (label), b, row_number() OVER (PARTITION BY regime, method, model, ambiguity_k, b ORDER BY uid) AS k FROM ag, b),
+@book(f"""{_real(B_NULL)}, slots AS (SELECT ag.* EXCLUDE (label), b, row_number() OVER (PARTITION BY regime, method, model, ambiguity_k, b ORDER BY uid) AS k FROM ag, b),
 deal AS (SELECT regime, method, model, ambiguity_k, b, label, row_number() OVER (PARTITION BY regime, method, model, ambiguity_k, b ORDER BY {draw_sql(str(SEED), 'b', 'uid')}, uid) AS k FROM ag, b),
 nc AS (SELECT b, {CELL_KEYS}, target, label, count(*) AS n FROM slots JOIN deal USING (regime, method, model, ambiguity_k, b, k) GROUP BY ALL), null_cells AS ({measures_sql('nc', f'b, {CELL_KEYS}')}) {_gap_sql('regime')}""")
 def shuffle_null(spark, sf):
     t = tidy(spark, sf).where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL").drop("output")
-    null = cells(R.shuffled_labels(t, _COND, "uid", B, SEED), ["b", *CELL])
+    null = cells(R.shuffled_labels(t, _COND, "uid", B_NULL, SEED), ["b", *CELL])
     return R.null_gap(cells(t), null, ["regime"])
 
 
-@book(f"""{_REAL}, ul AS (SELECT ag.* EXCLUDE (label), b, 'I' || ({draw_sql(str(SEED), 'b', 'uid')} % n_interpretations) AS label FROM ag, b WHERE n_interpretations > 0),
+@book(f"""{_real(B_NULL)}, ul AS (SELECT ag.* EXCLUDE (label), b, 'I' || ({draw_sql(str(SEED), 'b', 'uid')} % n_interpretations) AS label FROM ag, b WHERE n_interpretations > 0),
 nc AS (SELECT b, {CELL_KEYS}, target, label, count(*) AS n FROM ul GROUP BY ALL), null_cells AS ({measures_sql('nc', f'b, {CELL_KEYS}')}) {_gap_sql('ambiguity_k')}""")
 def uniform_null(spark, sf):
     t = tidy(spark, sf).where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL").drop("output")
-    null = cells(R.uniform_labels(t, "uid", "n_interpretations", B, SEED), ["b", *CELL])
+    null = cells(R.uniform_labels(R.placed(t, CELL), "uid", "n_interpretations", B_NULL, SEED), ["b", *CELL])
     return R.null_gap(cells(t), null, ["ambiguity_k"])
 
 
-@book(f"""{_REAL}, pool AS (SELECT model, label, count(*) AS n FROM tidy WHERE model IS NOT NULL GROUP BY ALL), up AS (SELECT model, label, sum(n) OVER (PARTITION BY model ORDER BY label) AS upto, sum(n) OVER (PARTITION BY model) AS total FROM pool),
+@book(f"""{_real(B_VERDICT)}, pool AS (SELECT model, label, count(*) AS n FROM tidy WHERE model IS NOT NULL GROUP BY ALL), up AS (SELECT model, label, sum(n) OVER (PARTITION BY model ORDER BY label) AS upto, sum(n) OVER (PARTITION BY model) AS total FROM pool),
 dr AS (SELECT ag.* EXCLUDE (label), b, {draw_sql(str(SEED), 'b', 'uid')} AS h FROM ag, b),
 rl AS (SELECT dr.*, arg_min(up.label, up.upto) AS label FROM dr JOIN up ON up.model = dr.model AND up.upto > dr.h % up.total GROUP BY ALL),
 nc AS (SELECT b, {CELL_KEYS}, target, label, count(*) AS n FROM rl GROUP BY ALL), null_cells AS ({measures_sql('nc', f'b, {CELL_KEYS}')}) {_gap_sql('regime')}""")
 def indep_counterfactual(spark, sf):
     t = tidy(spark, sf).drop("output")
     own = t.where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL")
-    null = cells(R.redrawn_labels(own, t.where("model IS NOT NULL"), "model", "uid", B, SEED), ["b", *CELL])
+    null = cells(R.redrawn_labels(R.placed(own, CELL), t.where("model IS NOT NULL"), "model", "uid", B_VERDICT, SEED), ["b", *CELL])
     return R.null_gap(cells(own), null, ["regime"])
 
 

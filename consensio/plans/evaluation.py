@@ -258,7 +258,8 @@ def ensemble_diagnostics(spark, sf):
     return cells(tidy(spark, sf)).groupBy("method", "model_class").agg(F.avg("cd_frozen").alias("cd_frozen"), F.avg("cd_primary").alias("cd_primary"), F.avg("iperp_rate").alias("iperp_rate"), ratio(F.sum("n_target"), F.sum("n_agents")).alias("resolve_rate"))
 
 
-_B, _SEED = 20, 42
+#: Replicates as in the reference, and seed.
+_B, _SEED = 2000, 42
 
 
 @book(f"""{SURFACING}, b AS (SELECT unnest(range({_B})) AS b), nu AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS i FROM (SELECT DISTINCT task FROM items)),
