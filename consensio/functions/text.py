@@ -70,7 +70,7 @@ COMMIT = "CONFIDENT_COMMIT"
 #: Of each category, words one of which every match of its patterns holds; a text without them is not searched.
 NEEDED = {
     "EXPLICIT_ABSTENTION": ["abstain", "refuse", "decline", "cannot", "able", "won"],
-    "CANNOT_DETERMINE": ["determine", "know", "tell", "say", "decide", "conclude", "ascertain", "identify", "unknowable", "undecidable", "inferred"],
+    "CANNOT_DETERMINE": ["determine", "know", "tell", "say", "decide", "conclude", "ascertain", "identify", "unknowable", "indeterminate", "undecidable", "inferred"],
     "NEED_MORE_INFO": ["information", "context", "detail", "data", "clarification", "specification"],
     "WHICH_MEAN": ["mean", "referring", "clarify", "specify", "indicate", "asking", "interpretation"],
     "CLARIFICATION_QUESTION": ["?"],
