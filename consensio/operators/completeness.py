@@ -4,14 +4,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def compare_grids(expected: DataFrame, observed: DataFrame, keys: list[str], least: str = "least") -> DataFrame:
-    """Cells of both sides with `status`: ok, missing, underfilled (fewer than expected.least rows) or unexpected.
+def job_grid(tasks: DataFrame, configs: list[str], seeds: list[int], models: list[str], pools: dict[str, str], agents: dict[str, int]) -> DataFrame:
+    """task, config, model, seed, least, most: tasks x configs x models of the config x seeds.
 
-    expected: keys and least; observed: keys, a row for each observation. Null keys match nothing.
+    A config in pools has one row, whose model is the pool's name; agents: rows of a job, 1 where not named.
+    """
+    def struct(c: str, m: str):
+        return F.struct(F.lit(c).alias("config"), F.lit(m).alias("model"), F.lit(agents.get(c, 1)).alias("least"))
+
+    each = F.array(*[struct(c, m) for c in configs for m in ([pools[c]] if c in pools else models)])
+    grid = tasks.select("task", F.explode(each).alias("j")).select("task", "j.config", "j.model", "j.least")
+    return grid.select("task", "config", "model", F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])).alias("seed"), "least", F.col("least").alias("most"))
+
+
+def pooled_models(observed: DataFrame, pools: dict[str, str], members: list[str]) -> DataFrame:
+    """observed with the pool's name for model where the config has a pool and the model is one of its members."""
+    model = F.col("model")
+    for c, name in pools.items():
+        model = F.when((F.col("config") == c) & F.col("model").isin(members), name).otherwise(model)
+    return observed.withColumn("model", model)
+
+
+def compare_grids(expected: DataFrame, observed: DataFrame, keys: list[str], least: str = "least", most: str | None = None) -> DataFrame:
+    """Cells of both sides with `status`: ok, missing, underfilled (fewer than expected.least rows), overfilled (more than expected.most, if named) or unexpected.
+
+    expected: keys, least and most; observed: keys, a row for each observation. Null keys match nothing.
     """
     seen = observed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     both = expected.withColumn("_e", F.lit(1)).join(seen, keys, "full_outer")
-    status = F.when(F.col("_e").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") < F.col(least), "underfilled").otherwise("ok")
+    status = F.when(F.col("_e").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") < F.col(least), "underfilled")
+    if most:
+        status = status.when(F.col("n") > F.col(most), "overfilled")
+    status = status.otherwise("ok")
     return both.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
 
 

@@ -8,7 +8,7 @@ from consensio.functions.keys import norm_endpoint, norm_key
 from consensio.functions.keys import sql_norm_key as nk
 from consensio.operators import completeness as G
 from consensio.plans.base import TIDY, Book, r6
-from consensio.sources.runs import tidy
+from consensio.sources.runs import MODEL_CLASSES, tidy
 from consensio.sources.tables import table
 
 book = Book()
@@ -57,6 +57,39 @@ def pending_jobs(spark, sf):
     return G.pending(_expected(spark, sf), done, ["task", "config", "seed"]).groupBy("config").agg(F.count(F.lit(1)).alias("n_pending"))
 
 
+# the whole declared grid: six configs, three seeds, the models of the roster; the heterogeneous debate has a pool of all of them and 4 agents
+_CONFIGS = ["single", "sc", "homogeneous-mad", "heterogeneous-mad", "verifier", "interpretation-diverse"]
+_SEEDS, _POOLS, _AGENTS = [0, 1, 2], {"heterogeneous-mad": "pool"}, {"heterogeneous-mad": 4}
+_ROSTER = sorted(MODEL_CLASSES)
+_JOBS = f"""WITH ids AS (SELECT rec_type, {_IDS} FROM agent_runs), obs AS (SELECT rec_type, task, config, seed, CASE WHEN config = 'heterogeneous-mad' AND model IN {tuple(_ROSTER)} THEN 'pool' ELSE model END AS model FROM ids WHERE task IS NOT NULL AND config IS NOT NULL AND model IS NOT NULL),
+cm AS (SELECT config, model FROM (SELECT unnest({_CONFIGS}) AS config), (SELECT unnest({_ROSTER}) AS model) WHERE config <> 'heterogeneous-mad' UNION ALL SELECT 'heterogeneous-mad', 'pool'),
+ex AS (SELECT t.task, cm.config, cm.model, s.seed, CASE WHEN cm.config = 'heterogeneous-mad' THEN 4 ELSE 1 END AS need FROM (SELECT {nk('id')} AS task FROM tasks WHERE deleted_at IS NULL) t, cm, (SELECT unnest({_SEEDS}) AS seed) s),
+seen AS (SELECT task, config, model, seed, count(*) AS n FROM obs WHERE rec_type = 'run' GROUP BY ALL)"""
+
+
+def _jobs(spark, sf):
+    t = table(spark, sf, "tasks").where("deleted_at IS NULL").select(norm_key("id").alias("task"))
+    return G.job_grid(t, _CONFIGS, _SEEDS, _ROSTER, _POOLS, _AGENTS)
+
+
+def _observed(spark, sf, kind: str):
+    own = _ids(spark, sf).where(F.col("rec_type") == kind).where("task IS NOT NULL AND config IS NOT NULL AND model IS NOT NULL")
+    return G.pooled_models(own, _POOLS, _ROSTER).select("task", "config", "model", "seed")
+
+
+@book(f"{_JOBS} SELECT config, model, status, count(*) AS n_cells FROM (SELECT coalesce(e.config, s.config) AS config, coalesce(e.model, s.model) AS model, CASE WHEN e.task IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n < need THEN 'underfilled' WHEN n > need THEN 'overfilled' ELSE 'ok' END AS status FROM ex e FULL JOIN seen s ON e.task = s.task AND e.config = s.config AND e.model = s.model AND e.seed = s.seed) GROUP BY ALL")
+def grid_counters(spark, sf):
+    """Counters of the whole grid, by config and model."""
+    cells = G.compare_grids(_jobs(spark, sf), _observed(spark, sf, "run"), ["task", "config", "model", "seed"], most="most")
+    return cells.groupBy("config", "model", "status").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@book(f"{_JOBS} SELECT config, model, count(*) AS n_pending FROM ex WHERE NOT EXISTS (SELECT 1 FROM obs i WHERE i.rec_type = 'job_done' AND i.task = ex.task AND i.config = ex.config AND i.model = ex.model AND i.seed = ex.seed) GROUP BY ALL")
+def pending_models(spark, sf):
+    """Jobs of the whole grid that are not done, by config and model."""
+    return G.pending(_jobs(spark, sf), _observed(spark, sf, "job_done"), ["task", "config", "model", "seed"]).groupBy("config", "model").agg(F.count(F.lit(1)).alias("n_pending"))
+
+
 @book(f"WITH d AS (SELECT {_IDS} FROM agent_runs WHERE rec_type = 'job_done'), r AS (SELECT {_IDS}, log_pos FROM agent_runs WHERE rec_type = 'run') SELECT d.config, count(*) AS n_jobs, count(*) FILTER (n IS NULL) AS n_without_runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_runs FROM (SELECT DISTINCT task, config, model, seed, endpoint FROM d) d LEFT JOIN (SELECT task, config, model, seed, endpoint, count(*) AS n FROM r GROUP BY ALL) r ON d.task = r.task AND d.config = r.config AND d.model = r.model AND d.seed = r.seed AND d.endpoint = r.endpoint GROUP BY ALL")
 def done_jobs(spark, sf):
     keys = ["task", "config", "model", "seed", "endpoint"]
