@@ -114,8 +114,8 @@ def _function_share(ws: list[str]) -> float:
 
 def _keyword(ws: list[str]) -> tuple[tuple[str, str] | None, float]:
     """The pair of content words that recurs most, and the share of all words that it takes up."""
-    if len(set(ws)) > 0.95 * len(ws) - 4:
-        return None, 0.0  # no pair recurs three times
+    if len(set(ws)) > len(ws) - 3:
+        return None, 0.0  # a pair that recurs three times repeats three words or more
     pairs = Counter(zip(ws, ws[1:]))
     best, share = None, 0.0
     for (a, b), n in pairs.items():
