@@ -68,6 +68,8 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.number: dict[str, int] = {}
         self.seqs = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(t)], np.int32) for _, t in rows]
+        # of keys: word numbers beyond 16 bits are mixed; chosen once, as keys of items and shards must agree
+        self.base = 65_599 if len(self.number) >= 65_536 else 65_536
         self.start = np.cumsum([0, *(len(s) + SEED for s in self.seqs)])
         self.flat = np.concatenate([np.concatenate([s, np.zeros(SEED, np.int32)]) for s in self.seqs]) if rows else np.zeros(0, np.int32)
         # a shorter item is looked for from a single seed on
@@ -76,7 +78,7 @@ class Items:
         self.owner = np.repeat(np.arange(len(rows)), np.diff(self.start))
 
 
-def _keys(flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _keys(flat: np.ndarray, depth: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of suffixes whose first `depth` words are words of items, and those words as one number."""
     n = len(flat) - depth + 1
     if n <= 0:
@@ -87,16 +89,16 @@ def _keys(flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(ok)
     key = np.zeros(len(at), np.uint64)
     for k in range(depth):
-        # word numbers beyond 16 bits are mixed; a chance equality is found out by the alignment
-        key = key * np.uint64(65_599 if len(flat) and flat.max() >= 65_536 else 65_536) + flat[at + k].astype(np.uint64)
+        # a chance equality is found out by the alignment
+        key = key * np.uint64(base) + flat[at + k].astype(np.uint64)
     return at, key
 
 
 class SuffixArray:
     """Suffixes of a shard in the order of their first SEED words."""
 
-    def __init__(self, flat: np.ndarray):
-        at, key = _keys(flat, SEED)
+    def __init__(self, flat: np.ndarray, base: int):
+        at, key = _keys(flat, SEED, base)
         order = np.argsort(key, kind="stable")
         self.at, self.key = at[order], key[order]
 
@@ -150,8 +152,8 @@ def search_words(items: Items, docs: list[np.ndarray]) -> list[tuple[int, str]]:
     flat = np.zeros(start[-1], np.int32)
     for s, d in zip(start, docs):
         flat[s : s + len(d)] = d
-    array = SuffixArray(flat)
-    at, key = _keys(items.flat, SEED)
+    array = SuffixArray(flat, items.base)
+    at, key = _keys(items.flat, SEED, items.base)
     lo, hi = array.find(key)
     n = hi - lo
     some = n > 0
