@@ -9,5 +9,5 @@ def test_many_item_words():
     items = Items([("a", first), ("b", rest)])
     assert len(items.number) > 65_536
     # no word of this shard has a number beyond 16 bits
-    assert search(items, [f"Before it {first} and after it"]) == [(0, "a")]
-    assert search(items, [" ".join(f"beta{i}" for i in range(65_900, 65_940))])[0] == (0, "b")
+    assert search(items, [f"Before it {first} and after it"]) == [(0, "a", 2, 30)]
+    assert search(items, [" ".join(f"beta{i}" for i in range(65_900, 65_940))])== [(0, "b", 0, 40)]

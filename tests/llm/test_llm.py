@@ -140,30 +140,80 @@ def test_leaks_equal_what_was_planted():
         if kind < 2:
             want.add((d, items[k][0]))
         docs.append(f"{passage(rng, 40)} {part} {passage(rng, 40)}")
-    assert set(leaks.search(leaks.Items(items), docs)) == want
+    got = leaks.search(leaks.Items(items), docs)
+    assert {x[:2] for x in got} == want
+    for d, i, at, n in got:  # the longest verbatim match, by brute force
+        doc, item = leaks.words(docs[d]), leaks.words(dict(items)[i])
+        assert doc[at : at + n] in [item[k : k + n] for k in range(len(item))]
+        assert not any(doc[k : k + n + 1] == item[j : j + n + 1] for k in range(len(doc) - n) for j in range(len(item) - n))
 
 
-def test_same_words_with_other_figures_are_no_leak():
+def test_suffix_array_equals_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        n, least, gaps = rng.randrange(1, 60), rng.randrange(1, 4), [0] * leaks.STEP
+        flat = np.array([rng.randrange(4) for _ in range(n)] + gaps, np.int32)
+        text = np.array([rng.randrange(4) for _ in range(12)] + gaps, np.int32)
+
+        def suffix(x, p):
+            end = p + int(np.argmin(x[p:] > 0))
+            return x[p:end].tolist()
+
+        def run(p):
+            while p and flat[p - 1]:
+                p -= 1
+            return len(suffix(flat, p))
+
+        array, places = leaks.SuffixArray(flat, least), [p for p in range(n) if flat[p] and run(p) >= least]
+        assert sorted(array.at.tolist()) == places
+        assert [suffix(flat, p) for p in array.at] == sorted(suffix(flat, p) for p in places)
+        q = np.flatnonzero(text)
+        for k, best in zip(q, array.longest(text, q)):
+            own = suffix(text, int(k))
+            assert best == max([j for p in places for j in range(len(own) + 1) if suffix(flat, p)[:j] == own[:j]], default=0)
+
+
+MOULD = "a choir rents {} chairs from port town of which {} are returned unopened by july so divide the rest among {} owners and list the {} largest in order"
+
+
+def test_what_only_shares_a_mould_is_no_leak(spark):
     rng = random.Random(3)
-    mould = "a choir rents {} chairs from port town of which {} are returned unopened by july so divide the rest among {} owners and list the {} largest in order"
-    item = mould.format(*[rng.randrange(100, 999) for _ in range(4)])
-    assert not leaks.search(leaks.Items([("a", item)]), [mould.format(*[rng.randrange(1000, 9999) for _ in range(4)])])
-    assert leaks.search(leaks.Items([("a", item)]), ["<p>" + item.replace(" ", "&nbsp;") + "</p>", item.replace("chairs", "cha-\nirs"), item.replace("o", "о")]) == [(0, "a"), (1, "a"), (2, "a")]
+    moulded = [MOULD.format(*[1000 + 4 * k + j for j in range(4)]) for k in range(6)]
+    twin = passage(rng, 40)
+    items = spark.createDataFrame([*[(f"m{k}", t) for k, t in enumerate(moulded)], ("t1", twin), ("t2", twin), ("n", None)], "item_id string, text string")
+    own = {r["_key"]: [w for k, w in enumerate(leaks.words(r["_text"])) if k not in r["_mould"]] for r in leaks.own_words(items, "item_id", "text").collect()}
+    assert own["m0"] == ["1000", "1001", "1002", "1003"] and len(own["t1"]) == 40 and "n" not in own
+    docs = [MOULD.format(7001, 7002, 7003, 7004), moulded[2].replace("chairs", "benches").replace("july", "may"), twin.replace(twin.split()[9], "x"), "<p>" + moulded[4].replace(" ", "&nbsp;") + "</p>", moulded[3].replace("chairs", "cha-\nirs"), moulded[1].replace("o", "о")]
+    got = leaks.leaked(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), "doc_id", "text", items, "item_id", "text")
+    assert dict(got.dtypes)["doc_id"] == "int"
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, "m2"), (2, "t1"), (2, "t2"), (3, "m4"), (4, "m3"), (5, "m1")]
+
+
+def test_figures_alone_decide_nothing():
+    # three changed words are allowed in a passage of twenty, be they figures or not
+    ws = [f"word{k}" for k in range(17)] + ["11", "22", "33"]
+    changed = [*ws[:3], "99", *ws[3:7], "98", *ws[7:11], "97", *ws[11:17]]
+    item = [*ws[:3], "11", *ws[3:7], "22", *ws[7:11], "33", *ws[11:17]]
+    assert [x[:2] for x in leaks.search(leaks.Items([("a", " ".join(item))]), [" ".join(changed)])] == [(0, "a")]
 
 
 def test_leaks_of_odd_tables(spark):
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x " * 30_000, 0), (4, "one two three four five six", 0), (4, "one two three four five six", 0)], "doc_id bigint, text string, item_id int")
-    items = spark.createDataFrame([("a", "one two three four five six"), ("b", None), ("c", ""), ("d", "x")], "item_id string, text string")
-    assert sorted(map(tuple, leaks.leaked(docs, "doc_id", "text", items, "item_id", "text").collect())) == [(4, "a"), (4, "a")]
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x " * 30_000, 0), (4, "one two three four five six", 0), (4, "one two three four five six", 0), (5, "so one two other four five six end", 1)], "doc_id bigint, text string, item_id int")
+    items = spark.createDataFrame([("a", "one two three four five six"), ("b", None), ("c", ""), ("d", "x"), ("e", "five six end")], "item_id string, text string")
+    got = leaks.leaked(docs, "doc_id", "text", items, "item_id", "text")
+    assert sorted(map(tuple, got.collect())) == [(3, "d", 0, 1), (4, "a", 0, 6), (4, "a", 0, 6), (5, "a", 4, 3), (5, "e", 5, 3)]
+    assert sorted(r["doc_id"] for r in leaks.without(docs, "doc_id", got).collect()) == [1, 2]
     assert leaks.leaked(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leaks.leaked(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
 def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", 10)
-    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "a b c d e f g h")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "a b c d e f g h"), (3, None), (4, " ")], "doc_id bigint, text string")
     items = spark.createDataFrame([("a", "one two three four five six"), ("b", "a b c d e f g")], "item_id string, text string")
-    assert sorted(map(tuple, leaks.leaked(docs, "doc_id", "text", items, "item_id", "text").collect())) == [(1, "a"), (2, "b")]
+    whole = sorted(map(tuple, leaks.leaked(docs, "doc_id", "text", items, "item_id", "text").collect()))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 3)
+    assert sorted(map(tuple, leaks.leaked(docs, "doc_id", "text", items, "item_id", "text").collect())) == whole == [(1, "a", 0, 6), (2, "b", 0, 7)]
 
 
 # 4: cutoffs
