@@ -1,7 +1,6 @@
 """Text functions as column builders; what regular expressions cannot say is a pandas UDF."""
 
 import ast
-import hashlib
 import json
 import re
 
@@ -81,6 +80,7 @@ NEEDED = {
 AXIS_STOPWORDS = "a an the of to for in on at by is are be do does which what when where how that this these those or and it its with as your you answer value single should would could may might rounded decimal places returns return function given between from into per each".split()
 # What makes a dimension one of format or tooling: words, phrases of its name, and languages. Fixed values.
 FORMAT_WORDS = "language languages programming python javascript typescript java kotlin ruby php golang rust cpp csharp scala perl swift syntax library libraries framework frameworks module modules import imports package packages dependency dependencies tooling toolchain runtime interpreter compiler ide encoding charset unicode utf ascii whitespace indentation codestyle".split()
+LANGUAGE_WORDS = "python javascript typescript java kotlin ruby php golang go rust cpp c csharp scala perl swift r matlab sql bash".split()
 FORMAT_PHRASES = ["programming language", "output format", "output encoding", "file type", "file format", "code style", "coding style", "display format", "string formatting", "which language", "output scope", "return type wrapper"]
 _FLAGS = "(?iuUd)"
 
@@ -117,15 +117,20 @@ def abstention_evidence(text: Column) -> Column:
     return out.otherwise("")
 
 
+#: Names and ids of interpretations with what stands in for them, phrases before bare ids; and what betrays a label. Fixed values.
+MASKS = [(r"(?i)\bInterpretation\s+I\d+(?:\s*\([^)\n]{0,80}\))?", "[interpretation]"), (r"\bI_perp\b", "[interpretation]"), (r"\bI[0-7]\b", "[option]")]
+BETRAYS = r"\bI[0-7]\b|\bI_perp\b|\bInterpretation\s+I\d"
+
+
 def mask_labels(text: Column) -> Column:
-    """Names and ids of interpretations replaced, phrases before bare ids."""
-    t = F.regexp_replace(text, r"(?i)\bInterpretation\s+I\d+(?:\s*\([^)\n]{0,80}\))?", "[interpretation]")
-    t = F.regexp_replace(t, r"\bI_perp\b", "[interpretation]")
-    return F.regexp_replace(t, r"\bI[0-7]\b", "[option]")
+    """Names and ids of interpretations replaced."""
+    for pattern, instead in MASKS:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
 
 
 def leaks_label(text: Column) -> Column:
-    return text.rlike(r"\bI[0-7]\b|\bI_perp\b|\bInterpretation\s+I\d")
+    return text.rlike(BETRAYS)
 
 
 def keywords(text: Column) -> Column:
@@ -141,13 +146,60 @@ def axis_match(dimension: Column, questions: Column) -> Column:
     return F.coalesce((F.size(d) > 0) & ok, F.lit(False))
 
 
-def is_format_dimension(name: Column) -> Column:
-    """Whether a dimension's name is about format or tooling."""
-    w = F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]+)"), 1)
-    hit = F.arrays_overlap(w, F.array(*[F.lit(x) for x in FORMAT_WORDS]))
+def is_format_dimension(name: Column, values: Column | None = None) -> Column:
+    """Whether a dimension is about format or tooling: by its name, or because each of its values names a language."""
+
+    def holds(text: Column, of: list[str]) -> Column:
+        return F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), F.array(*[F.lit(x) for x in of]))
+
+    hit = F.coalesce(holds(name, FORMAT_WORDS), F.lit(False))
     for p in FORMAT_PHRASES:
-        hit = hit | F.lower(name).contains(p)
-    return F.coalesce(hit, F.lit(False))
+        hit = hit | F.coalesce(F.lower(name).contains(p), F.lit(False))
+    if values is not None:
+        hit = hit | ((F.coalesce(F.size(values), F.lit(0)) > 0) & F.coalesce(F.forall(values, lambda v: F.coalesce(holds(v, LANGUAGE_WORDS), F.lit(False))), F.lit(False)))
+    return hit
+
+
+def clean_dimensions(dims: Column, most: int = 8) -> Column:
+    """The first `most` dimensions (dimension, values) that have a name and two distinct values; all trimmed, blank values left out."""
+
+    def trimmed(t: Column) -> Column:
+        return F.regexp_replace(t, r"^\s+|\s+$", "")
+
+    def clean(d: Column) -> Column:
+        values = F.array_distinct(F.filter(F.transform(d["values"], trimmed), lambda v: v.isNotNull() & (v != "")))
+        return F.struct(trimmed(d["dimension"]).alias("dimension"), values.alias("values"))
+
+    own = F.filter(F.transform(dims, clean), lambda d: F.coalesce((d["dimension"] != "") & (F.size(d["values"]) >= 2), F.lit(False)))
+    return F.slice(own, 1, most)
+
+
+def token_confidence(logprobs: Column, first: int = 5) -> Column:
+    """exp of the mean of the first few log probabilities of tokens; NULL without any. Nulls are left out, but count among the first."""
+    own = F.filter(F.slice(logprobs, 1, first), lambda x: x.isNotNull())
+    total = F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return F.when(F.size(own) > 0, F.exp(total / F.nullif(F.size(own), F.lit(0))))
+
+
+def same_value(got: Column, want: Column, kind: str, tolerance: float = 1e-9) -> Column:
+    """Whether two values of a kind (of DataFrame.dtypes) are equal: doubles within the tolerance, everything else exactly; null only equals null."""
+    if kind not in ("double", "float"):
+        return got.eqNullSafe(want)
+    near = F.abs(got - want) < tolerance
+    return F.when(got.isNull() | want.isNull(), got.isNull() & want.isNull()).otherwise((got == want) | near)
+
+
+def same_answer(got: Column, want: Column, fields: dict[str, str]) -> Column:
+    """Whether two structs agree in all fields (name -> kind): texts without case and outer white space, doubles to the cent, the rest exactly."""
+    out = got.isNotNull() & want.isNotNull()
+    for name, kind in fields.items():
+        x, y = got[name], want[name]
+        if kind == "string":
+            x, y = F.lower(F.trim(x)), F.lower(F.trim(y))
+        elif kind in ("double", "float"):
+            x, y = F.bround(x * 100, 0), F.bround(y * 100, 0)
+        out = out & x.eqNullSafe(y)
+    return out
 
 
 def final_amounts(text: Column) -> Column:
@@ -271,7 +323,3 @@ def json_amounts_of(text: str) -> list[float | None]:
 def row_id(*parts: Column) -> Column:
     """The first 16 digits of SHA-1 over the parts; null parts are empty."""
     return F.substring(F.sha1(F.concat_ws(chr(31), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 16)
-
-
-def mock_row_id(*parts: str) -> str:
-    return hashlib.sha1(chr(31).join(parts).encode()).hexdigest()[:16]

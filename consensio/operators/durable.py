@@ -1,5 +1,7 @@
 """Cutting of lineage, and joins that survive hot keys."""
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,12 +11,20 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there.
 
-    The folder is the session's spark.checkpoint.dir. Only where none is set, as in tests on one
-    machine, a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Where none is set, a session with its executors in one process
+    gets a temporary one, which is removed at its end; a cluster has no folder that all machines share, so
+    that is an error. Set spark.cleaner.referenceTracking.cleanCheckpoints to have written tables removed when they are
+    no longer used.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -28,9 +38,20 @@ def hot_keys(df: DataFrame, keys: list[str], bound: int = 1000) -> DataFrame:
     return counts.where(F.col("n") > F.lit(total / bound)).select(*keys)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+#: Rows and bytes of a frame that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows, and no more than so many bytes as text.
+
+    Partitions are read a few at a time until the rows are too many; nothing is shuffled for it, and only a number for
+    each row comes to the driver.
+    """
+    wide = [f"`{c}`" for c, t in df.dtypes if not t.startswith("map")]
+    text = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
+    found = df.select(text.alias("n")).take(rows + 1)
+    return len(found) <= rows and sum(r[0] or 0 for r in found) <= size
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner", salts: int = 32, condition=None) -> DataFrame:

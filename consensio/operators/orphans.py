@@ -45,7 +45,7 @@ def orphans(refs: DataFrame, targets: DataFrame, on: dict[str, str], *, match: s
         return condition
 
     out = []
-    small = fits(targets.select(*on.values()), BROADCAST_ROWS)
+    small = fits(targets.select(*on.values(), *times.values()), BROADCAST_ROWS)
     for mask in product([False, True], repeat=len(keys)):  # True: the column is null
         if all(mask) or (any(mask) and match == "simple"):
             continue

@@ -76,6 +76,19 @@ def recovery_gate(items: DataFrame, high: float = 0.6, low: float = 0.4, margin:
     return out.withColumn("verdict", F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL"))
 
 
+def family_verdicts(rows: DataFrame, tasks: DataFrame, resolve: float = 0.5, concentration: float = 0.5) -> DataFrame:
+    """Each family of tasks (the id before _k) by the means of its rows (task, n_target, n_agents, cd_primary, iperp_rate).
+
+    RESOLVES where the target is reached often enough and wrong answers do not concentrate, else MIS-TAGGED; a
+    family of tasks without rows is INSUFFICIENT-DATA.
+    """
+    family = F.substring_index("task", "_k", 1).alias("family")
+    s = rows.groupBy(family).agg(F.avg(ratio(F.col("n_target"), F.col("n_agents"))).alias("resolve_rate"), F.avg("cd_primary").alias("cd_primary"), F.avg("iperp_rate").alias("iperp_rate"), F.count(F.lit(1)).alias("n_rows"))
+    verdict = F.when(F.col("n_rows").isNull(), "INSUFFICIENT-DATA").when((F.col("resolve_rate") >= resolve) & (F.col("cd_primary") <= concentration), "RESOLVES").otherwise("MIS-TAGGED")
+    out = tasks.select(family).distinct().join(s, "family", "left").withColumn("verdict", verdict)
+    return out.select("family", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "resolve_rate", "cd_primary", "iperp_rate", "verdict")
+
+
 def clarify(records: DataFrame, tau: float = 0.5) -> DataFrame:
     """records (is_flagged, h_seed, seed_labels, n_surfaced) with the decision of each policy as a map; unknown signals do not ask."""
     labels = F.filter("seed_labels", lambda x: x.isNotNull())

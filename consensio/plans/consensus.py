@@ -3,13 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from consensio.functions.keys import norm_key
 from consensio.operators import contrasts as C
 from consensio.operators import decide as V
 from consensio.operators import dependence as D
 from consensio.operators import resample as R
 from consensio.operators.labels import CELL, MEASURES, cell_measures, cells, label_counts, modal_wrong
+from consensio.operators.studies import family_verdicts
 from consensio.plans.base import CELL_KEYS, CELLS, LABELS, TIDY, Book, draw_sql, measures_sql, r6
 from consensio.sources.runs import tidy
+from consensio.sources.tables import table
 
 book = Book()
 _M = ["cd_frozen", "cd_primary", "cd_drop_iperp", "iperp_rate", "entropy", "entropy_norm", "consistency", "minority", "divergence"]
@@ -173,12 +176,15 @@ def provenance_holdout(spark, sf):
     return tidy(spark, sf).groupBy("constructor_family").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(own).alias("n_held_out"), F.avg(F.when(~own, (F.col("label") != F.col("target")).cast("double"))).alias("error_rate"))
 
 
-@book(f"{TIDY}, s AS (SELECT family, avg(CASE WHEN label = target THEN 1.0 ELSE 0.0 END) AS resolve_rate, count(*) AS n FROM tidy WHERE model_class = 'reasoning' AND ambiguity_k = 1 GROUP BY ALL), f AS (SELECT DISTINCT family FROM tidy WHERE family IS NOT NULL) SELECT f.family, coalesce(n, 0) AS n, {r6('resolve_rate')} AS resolve_rate, CASE WHEN n IS NULL THEN 'INSUFFICIENT-DATA' WHEN resolve_rate >= 0.5 THEN 'RESOLVES' ELSE 'MIS-TAGGED' END AS verdict FROM f LEFT JOIN s USING (family)")
+@book(f"""{TIDY}, c AS (SELECT task, model, target, label, count(*) AS n FROM tidy WHERE model_class = 'reasoning' AND ambiguity_k = 1 GROUP BY ALL), m AS ({measures_sql('c', 'task, model')}),
+s AS (SELECT split_part(task, '_k', 1) AS family, avg(n_target * 1.0 / n_agents) AS resolve_rate, avg(cd_primary) AS cd_primary, avg(iperp_rate) AS iperp_rate, count(*) AS n_rows FROM m GROUP BY ALL),
+f AS (SELECT DISTINCT split_part(task, '_k', 1) AS family FROM task_facts WHERE ambiguity_k = 1 AND task IS NOT NULL)
+SELECT f.family, coalesce(n_rows, 0) AS n_rows, {r6('resolve_rate')} AS resolve_rate, {r6('cd_primary')} AS cd_primary, {r6('iperp_rate')} AS iperp_rate, CASE WHEN n_rows IS NULL THEN 'INSUFFICIENT-DATA' WHEN resolve_rate >= 0.5 AND cd_primary <= 0.5 THEN 'RESOLVES' ELSE 'MIS-TAGGED' END AS verdict FROM f LEFT JOIN s USING (family)""")
 def family_screen(spark, sf):
-    t = tidy(spark, sf)
-    s = t.where("model_class = 'reasoning' AND ambiguity_k = 1").groupBy("family").agg(F.avg((F.col("label") == F.col("target")).cast("double")).alias("resolve_rate"), F.count(F.lit(1)).alias("n"))
-    out = t.select("family").where("family IS NOT NULL").distinct().join(s, "family", "left")
-    return out.select("family", F.coalesce("n", F.lit(0)).alias("n"), "resolve_rate", F.when(F.col("n").isNull(), "INSUFFICIENT-DATA").when(F.col("resolve_rate") >= 0.5, "RESOLVES").otherwise("MIS-TAGGED").alias("verdict"))
+    """Whether reasoning models resolve the k1 tasks of a family, and do not agree on a wrong reading, by means over tasks and models."""
+    own = cells(tidy(spark, sf).where("model_class = 'reasoning' AND ambiguity_k = 1"), ["task", "model"])
+    families = table(spark, sf, "tasks").where("ambiguity_level = 1").select(norm_key("id").alias("task")).dropna()
+    return family_verdicts(own, families)
 
 
 @book(f"{CELLS} SELECT method, CASE WHEN regime = 'H1_external' AND ambiguity_k >= 1 THEN 'H1_k1' WHEN regime = 'H1_external' THEN 'H1_k0' WHEN regime = 'H2_derivable' THEN 'H2' ELSE 'other' END AS category, {r6('avg(cd_primary)')} AS cd_primary, {r6('median(cd_primary)')} AS cd_median, count(*) AS n_cells FROM cells GROUP BY ALL")

@@ -160,10 +160,11 @@ def domain_certification(spark, sf):
     )
 
 
-@book(f"{TIDY} SELECT model, {r6('avg(exp(logit_conf))')} AS token_conf, count(logit_conf) AS n FROM tidy GROUP BY ALL")
+@book(f"WITH l AS (SELECT vec_id, label, list_transform(embedding[1:5], lambda x: -abs(CAST(x AS DOUBLE))) AS p FROM embeddings) SELECT vec_id, label, {r6('exp(list_avg(p))')} AS confidence, {r6('1 - exp(list_avg(p))')} AS uncertainty FROM l")
 def token_confidence(spark, sf):
-    """exp of the mean log probability, by model."""
-    return tidy(spark, sf).groupBy("model").agg(F.avg(F.exp("logit_conf")).alias("token_conf"), F.count("logit_conf").alias("n"))
+    """Confidence of sequences from the log probabilities of their first five tokens, and one less it; the sequences are those of the vectors, below zero."""
+    c = X.token_confidence(F.transform("embedding", lambda x: -F.abs(x.cast("double"))))
+    return table(spark, sf, "embeddings").select("vec_id", "label", c.alias("confidence"), (1 - c).alias("uncertainty"))
 
 
 @book(f"SELECT {nk('model')} AS model, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, {r6('sum(cost_usd)')} AS cost_usd, {r6('sum(cost_usd) * 1000 / nullif(sum(tokens_in) + sum(tokens_out), 0)')} AS usd_per_1k FROM completions GROUP BY ALL")

@@ -58,13 +58,14 @@ def tidy_runs(runs: DataFrame, tasks: DataFrame, classes: Mapping[str, str] = MO
     broadcast after a check of their number, else hot tasks are salted.
     """
     t = tasks.select(norm_key("id").alias("task"), target_of().alias("target"), "regime", F.col("ambiguity_level").alias("ambiguity_k"), "domain", F.size("interpretations").alias("n_interpretations"))
+    small = fits(t)
     t = t.dropna(subset=["task"]).dropDuplicates(["task"])
     method, model = norm_key("config"), norm_key("model_id")
     r = runs.where((F.col("rec_type") == "run") & (F.trim("label") != "")).select(
         F.col("log_pos").alias("uid"), norm_key("task_id").alias("task"), method.alias("method"), model.alias("model"), norm_key("model_role").alias("role"), model_class(method, model, classes).alias("model_class"), F.substring_index(model, "/", 1).alias("family"),
         F.coalesce("replicate_seed", "seed", F.lit(0)).cast("bigint").alias("seed"), F.trim("label").alias("label"), F.col("verbalized_conf").alias("conf"), "logit_conf", "output",
     )
-    out = r.join(F.broadcast(t), "task") if fits(tasks.select("id"), 100_000) else salted_join(r, t, ["task"], hot_keys(r, ["task"]))
+    out = r.join(F.broadcast(t), "task") if small else salted_join(r, t, ["task"], hot_keys(r, ["task"]))
     return out.withColumn("constructor_family", constructor(F.col("task"), constructors))
 
 

@@ -34,6 +34,9 @@ def test_masks_and_axes(spark):
     df = spark.createDataFrame([("rounding rule", ["Which rounding rule applies?"]), ("rounding", ["Which rounding rule?"]), (None, ["x"]), ("bound", ["the bound"])], "d string, q array<string>")
     assert [r[0] for r in df.select(X.axis_match(F.col("d"), F.col("q"))).collect()] == [True, False, False, True]
     assert one(spark, "Programming Language", X.is_format_dimension) and not one(spark, "rounding", X.is_format_dimension)
+    for values, want in ((["Python 3", "go"], True), (["Python", "half up"], False), ([], False), (None, False), (["R", None], False)):
+        assert spark.createDataFrame([("target", values)], "n string, v array<string>").select(X.is_format_dimension(F.col("n"), F.col("v"))).first()[0] is want
+    assert spark.createDataFrame([(None, ["c"])], "n string, v array<string>").select(X.is_format_dimension(F.col("n"), F.col("v"))).first()[0] is True
 
 
 def test_amounts(spark):
@@ -54,7 +57,7 @@ def test_reasoning_code_and_arrays(spark):
     import hashlib
 
     assert one(spark, "abc", lambda t: X.sha_index(t, 7)) == int(hashlib.sha256(b"abc").hexdigest(), 16) % 7
-    assert spark.range(1).select(X.row_id(F.lit("a"), F.lit(None), F.lit(3))).first()[0] == X.mock_row_id("a", "", "3")
+    assert spark.range(1).select(X.row_id(F.lit("a"), F.lit(None), F.lit(3))).first()[0] == hashlib.sha1(b"a\x1f\x1f3").hexdigest()[:16]
 
 
 def record(**k):
@@ -145,3 +148,27 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     N.keep_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r["task_id"], r["seed"], r["label"]): r["n"] for r in N.present_counts(spark, str(tmp_path / "out")).collect()}
     assert got == {(f"t{t}", s, f"I{s}"): 1 for t in range(3) for s in range(2)}
+
+
+def test_dimensions_are_cleaned(spark):
+    dims = [(" unit ", ["a", " a", "b "]), ("", ["a", "b"]), (None, ["a", "b"]), ("one", ["a", "a", ""]), ("nulls", [None, "x", "y"]), ("none", None), ("last", ["1", "2"])]
+    df = spark.createDataFrame([(dims,), (None,), ([],)], "d array<struct<dimension string, values array<string>>>")
+    got = [r[0] for r in df.select(X.clean_dimensions(F.col("d"), 2)).collect()]
+    assert [(d["dimension"], d["values"]) for d in got[0]] == [("unit", ["a", "b"]), ("nulls", ["x", "y"])] and got[1] is None and got[2] == []
+
+
+def test_token_confidence(spark):
+    import math
+
+    rows = [([-0.1, -0.2, -0.3, -0.4, -0.5, -99.0],), ([-1.0, None],), ([],), (None,), ([None],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "l array<double>").select(X.token_confidence(F.col("l"))).collect()]
+    assert [None if x is None else round(x, 9) for x in got] == [round(math.exp(-0.3), 9), round(math.exp(-1), 9), None, None, None]
+
+
+def test_typed_and_structured_comparison(spark):
+    df = spark.createDataFrame([(1.0, 1.0 + 1e-10), (1.0, 1.1), (None, None), (None, 0.0), (float("inf"), float("inf"))], "a double, b double")
+    assert [r[0] for r in df.select(X.same_value(F.col("a"), F.col("b"), "double")).collect()] == [True, False, True, False, True]
+    assert [r[0] for r in spark.createDataFrame([(1, 1), (None, None), (1, None)], "a int, b int").select(X.same_value(F.col("a"), F.col("b"), "int")).collect()] == [True, True, False]
+    kinds = {"who": "string", "sum": "double", "n": "int"}
+    df = spark.createDataFrame([((" Ada ", 1.001, 1), ("ada", 1.0, 1)), (("ada", 1.02, 1), ("ada", 1.0, 1)), (None, ("a", 1.0, 1)), ((None, None, None), (None, None, None))], "g struct<who string, sum double, n int>, w struct<who string, sum double, n int>")
+    assert [r[0] for r in df.select(X.same_answer(F.col("g"), F.col("w"), kinds)).collect()] == [True, False, False, True]
