@@ -2,7 +2,6 @@
 
 import math
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,25 +79,6 @@ def tost(n: int, mean: float, sd: float, margin: float, alpha: float = 0.05) ->
     return {"lo": mean - half, "hi": mean + half, "p": p, "equivalent": p < alpha}
 
 
-def cluster_ols(y: np.ndarray, x: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
-    """Coefficients, cluster-robust standard errors and a status, from folded cells on the driver.
-
-    'ok', 'rank-deficient' (pseudo-inverse) or 'too-few-clusters' (errors are NaN below two clusters).
-    """
-    n, k = x.shape
-    gram = x.T @ x
-    status = "ok" if np.linalg.matrix_rank(gram) == k else "rank-deficient"
-    inverse = np.linalg.pinv(gram)
-    beta = inverse @ x.T @ y
-    r = y - x @ beta
-    groups = np.unique(cluster)
-    if len(groups) < 2 or n <= k:
-        return beta, np.full(k, np.nan), "too-few-clusters"
-    meat = sum(np.outer(s, s) for s in (x[cluster == g].T @ r[cluster == g] for g in groups))
-    scale = len(groups) / (len(groups) - 1) * (n - 1) / (n - k)
-    return beta, np.sqrt(np.maximum(np.diag(scale * inverse @ meat @ inverse), 0)), status
-
-
 def holm(p: list[float]) -> list[float]:
     """Holm's step-down p values in the given order."""
     m, top, out = len(p), 0.0, [0.0] * len(p)

@@ -4,20 +4,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from consensio.operators.durable import cut, fits, hot_keys, salted_join
 from consensio.operators.labels import ratio
+from consensio.operators.order import null_safe_join, running_sums
 
 
 def auroc(rows: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
     """Tie-aware area under the curve for each group: wins of positives over negatives, ties half; NULL without both classes.
 
-    Rows are first folded to one row for each distinct score, and ranks are running sums over those, so what
-    is ordered is as long as the number of distinct scores of a group. Null scores are left out.
+    Rows are first folded to one row for each distinct score, and ranks are running sums over ranges of those, so no task
+    orders all scores of a group. Null scores are left out.
     """
     per = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("wins", F.col("p") * (below + F.col("q") / 2.0))
+    per = running_sums(per, by, score, {"below": "q"}).withColumn("wins", F.col("p") * (F.col("below") + F.col("q") / 2.0))
     return per.groupBy(*by).agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), ratio(F.sum("wins"), F.sum("p") * F.sum("q")).alias("auroc"))
 
 
@@ -89,9 +89,9 @@ def threshold(items: DataFrame, score: str, control: str, positive: str, target:
     folded to distinct scores first. One row; no items: the threshold at which nothing fires.
     """
     per = items.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(control).alias("c"), F.count_if(positive).alias("p"))
-    down = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    # distinct scores only; their number is bounded by the scores' precision, not by the rows
-    per = per.withColumns({"c_ge": F.sum("c").over(down), "p_ge": F.sum("p").over(down)})
+    per = per.withColumn("down", -F.col("s"))
+    per = running_sums(per, [], "down", {"c_above": "c", "p_above": "p"}).withColumns({"c_ge": F.col("c_above") + F.col("c"), "p_ge": F.col("p_above") + F.col("p")})
+    per = cut(per)  # four uses follow
     per = per.select(F.explode(F.array(F.struct(F.col("s").alias("t"), F.col("c_ge").alias("c"), F.col("p_ge").alias("p")), F.struct((F.col("s") + eps).alias("t"), (F.col("c_ge") - F.col("c")).alias("c"), (F.col("p_ge") - F.col("p")).alias("p")))).alias("x"), "c_ge", "p_ge").select("x.*", "c_ge", "p_ge")
     n = per.agg(F.coalesce(F.max("c_ge"), F.lit(0)).alias("c"), F.coalesce(F.max("p_ge"), F.lit(0)).alias("p"))
     ends = n.select(F.explode(F.array(F.struct(F.lit(0.0).alias("t"), "c", "p"), F.struct(F.lit(1.0 + eps).alias("t"), F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("p")))).alias("x")).select("x.*")
@@ -103,12 +103,15 @@ def threshold(items: DataFrame, score: str, control: str, positive: str, target:
 
 
 def mid_rank(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """rows with the mean rank of their ties and, from the top, the smallest rank of their ties.
+    """rows with the mean rank of their ties and, from the top, the smallest rank of their ties; null values are left out.
 
-    Ranks are taken over distinct values and joined back, so ties cost nothing.
+    Ranks are taken over distinct values and joined back, broadcast where they are few, else with hot ties salted.
     """
-    per = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    up = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
-    per = per.select(*by, value, (F.sum("_n").over(up) - (F.col("_n") - 1) / 2.0).alias("mid_rank"), (F.sum("_n").over(down) - F.col("_n") + 1).alias("competition_rank"))
-    return rows.join(per, [*by, value])
+    per = cut(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
+    total = per.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    own = running_sums(per, by, value, {"_below": "_n"})
+    own = null_safe_join(own, total, by) if by else own.join(F.broadcast(total))
+    own = own.select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias("mid_rank"), (F.col("_all") - F.col("_below") - F.col("_n") + 1).alias("competition_rank"))
+    if fits(per):
+        return rows.join(F.broadcast(own), [*by, value])
+    return salted_join(rows, own, [*by, value], hot_keys(rows, [*by, value]))

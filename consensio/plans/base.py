@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from consensio.functions.keys import sql_norm_key as nk
+from consensio.operators.resample import POISSON
 from consensio.sources.runs import CONSTRUCTORS, MODEL_CLASSES
 
 
@@ -70,3 +71,9 @@ CELLS = f"{LABELS}, cells AS ({measures_sql('lc', CELL_KEYS)})"
 
 def draw_sql(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
+def weight_sql(seed: int, b: str, level: str) -> str:
+    """The Poisson weight of a level in replicate b, see resample.weights."""
+    bits = f"('0x' || substr(md5(concat_ws('|', '{seed}', CAST({b} // 4 AS VARCHAR), {level})), 1 + 8 * ({b} % 4), 8))::BIGINT"
+    return f"len(list_filter({POISSON}, lambda t: t <= {bits}))"

@@ -7,10 +7,15 @@ from consensio.functions.keys import norm_key
 from consensio.operators import contrasts as C
 from consensio.operators import decide as V
 from consensio.operators import dependence as D
+from consensio.operators import linear as L
+from consensio.operators import nulls as N
 from consensio.operators import resample as R
+from consensio.operators import verdicts as S
+from consensio.operators.durable import cut
 from consensio.operators.labels import CELL, MEASURES, cell_measures, cells, label_counts, modal_wrong
+from consensio.operators.order import null_safe_join, percentiles
 from consensio.operators.studies import family_verdicts
-from consensio.plans.base import CELL_KEYS, CELLS, LABELS, TIDY, Book, draw_sql, measures_sql, r6
+from consensio.plans.base import CELL_KEYS, CELLS, LABELS, TIDY, Book, measures_sql, r6, weight_sql
 from consensio.sources.runs import tidy
 from consensio.sources.tables import table
 
@@ -190,16 +195,14 @@ def family_screen(spark, sf):
 @book(f"{CELLS} SELECT method, CASE WHEN regime = 'H1_external' AND ambiguity_k >= 1 THEN 'H1_k1' WHEN regime = 'H1_external' THEN 'H1_k0' WHEN regime = 'H2_derivable' THEN 'H2' ELSE 'other' END AS category, {r6('avg(cd_primary)')} AS cd_primary, {r6('median(cd_primary)')} AS cd_median, count(*) AS n_cells FROM cells GROUP BY ALL")
 def pilot_summary(spark, sf):
     category = F.when((F.col("regime") == "H1_external") & (F.col("ambiguity_k") >= 1), "H1_k1").when(F.col("regime") == "H1_external", "H1_k0").when(F.col("regime") == "H2_derivable", "H2").otherwise("other")
-    return _cells(spark, sf).groupBy("method", category.alias("category")).agg(F.avg("cd_primary").alias("cd_primary"), F.percentile("cd_primary", F.lit(0.5)).alias("cd_median"), F.count(F.lit(1)).alias("n_cells"))
+    own = cut(_cells(spark, sf).select("method", category.alias("category"), "cd_primary"))
+    means = own.groupBy("method", "category").agg(F.avg("cd_primary").alias("cd_primary"), F.count(F.lit(1)).alias("n_cells"))
+    return null_safe_join(means, percentiles(own, ["method", "category"], "cd_primary", {"cd_median": 0.5}), ["method", "category"])
 
 
 # resampling
 
-_ITEMS = f"{CELLS}, items AS (SELECT task, avg(cd_primary) AS v FROM cells WHERE regime = 'H1_external' GROUP BY ALL), numbered AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM items), b AS (SELECT unnest(range({B_ITEMS})) AS b)"
-
-
-def _means(seed: int, source: str) -> str:
-    return f"SELECT b.b, avg(d.v) AS mean FROM b, {source} s JOIN {source} d ON d.i = {draw_sql(str(seed), 'b.b', 's.i')} % (SELECT count(*) FROM {source}) GROUP BY ALL"
+_ITEMS = f"{CELLS}, b AS (SELECT unnest(range({B_ITEMS})) AS b), items AS (SELECT task, regime, avg(cd_primary) AS v FROM cells GROUP BY ALL)"
 
 
 def _index(values: str) -> tuple[str, str]:
@@ -210,94 +213,122 @@ def _index(values: str) -> tuple[str, str]:
 _LO, _HI = _index("mean")
 
 
-@book(f"{_ITEMS}, m AS ({_means(SEED, 'numbered')}) SELECT {r6('(SELECT avg(v) FROM items)')} AS point, {r6(_LO)} AS lo, {r6(_HI)} AS hi FROM m")
+@book(f"{_ITEMS}, own AS (SELECT * FROM items WHERE regime = 'H1_external'), m AS (SELECT b, sum(w * v) / nullif(sum(w), 0) AS mean FROM (SELECT b, v, {weight_sql(SEED, 'b', 'task')} AS w FROM own, b) GROUP BY ALL) SELECT {r6('(SELECT avg(v) FROM own)')} AS point, {r6(_LO)} AS lo, {r6(_HI)} AS hi FROM m")
 def boot_mean_ci(spark, sf):
     items = _cells(spark, sf).where("regime = 'H1_external'").groupBy("task").agg(F.avg("cd_primary").alias("v"))
     return R.mean_ci(items, "task", "v", B_ITEMS, SEED)
 
 
-_DLO, _DHI = _index("x.mean - y.mean")
+_DIFF = "max(mean) FILTER (regime = 'H1_external') - max(mean) FILTER (regime = 'H2_derivable')"
 
 
-@book(f"{_ITEMS}, items2 AS (SELECT task, avg(cd_primary) AS v FROM cells WHERE regime = 'H2_derivable' GROUP BY ALL), numbered2 AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM items2), m AS ({_means(SEED, 'numbered')}), m2 AS ({_means(SEED + 1, 'numbered2')}) SELECT {r6('(SELECT avg(v) FROM items) - (SELECT avg(v) FROM items2)')} AS point, {r6(_DLO)} AS lo, {r6(_DHI)} AS hi FROM m x JOIN m2 y USING (b)")
+@book(f"""{_ITEMS}, own AS (SELECT * FROM items WHERE regime IN ('H1_external', 'H2_derivable')), m AS (SELECT b, regime, sum(w * v) / nullif(sum(w), 0) AS mean FROM (SELECT b, regime, v, {weight_sql(SEED, 'b', "regime || '|' || task")} AS w FROM own, b) GROUP BY ALL),
+d AS (SELECT b, {_DIFF} AS mean FROM m GROUP BY ALL), p AS (SELECT {_DIFF} AS point FROM (SELECT regime, avg(v) AS mean FROM own GROUP BY ALL)) SELECT {r6('(SELECT point FROM p)')} AS point, {r6(_LO)} AS lo, {r6(_HI)} AS hi FROM d WHERE mean IS NOT NULL""")
 def boot_diff_ci(spark, sf):
     items = _cells(spark, sf).groupBy("task", "regime").agg(F.avg("cd_primary").alias("v"))
-    return R.difference_ci(items.where("regime = 'H1_external'"), items.where("regime = 'H2_derivable'"), "task", "v", B_ITEMS, SEED)
+    return R.signed_ci(items, "task", "v", "regime", {"H1_external": 1, "H2_derivable": -1}, B_ITEMS, SEED)
 
 
-_FOUR = [("code_spec", "H1_external"), ("code_spec", "H2_derivable"), ("policy_qa", "H1_external"), ("policy_qa", "H2_derivable")]
-_SUM = "m0.mean - m1.mean - m2.mean + m3.mean"
-_ILO, _IHI = _index(_SUM)
+_DOMAINS = ["code_spec", "data_analysis", "policy_qa", "r2_xf"]
+_PAIRS = [(x, y) for i, x in enumerate(_DOMAINS) for y in _DOMAINS[i + 1 :]]
 
 
-@book(f"{CELLS}, b AS (SELECT unnest(range({B_ITEMS})) AS b), di AS (SELECT f.domain, c.regime, c.task, avg(cd_primary) AS v FROM cells c JOIN task_facts f ON f.task = c.task GROUP BY ALL), {', '.join(f"n{i} AS (SELECT task, v, row_number() OVER (ORDER BY task) - 1 AS i FROM di WHERE domain = '{d}' AND regime = '{r}'), m{i} AS ({_means(SEED + i, f'n{i}')})" for i, (d, r) in enumerate(_FOUR))} SELECT {r6('(SELECT avg(v) FROM n0) - (SELECT avg(v) FROM n1) - (SELECT avg(v) FROM n2) + (SELECT avg(v) FROM n3)')} AS point, {r6(_ILO)} AS lo, {r6(_IHI)} AS hi FROM m0 JOIN m1 USING (b) JOIN m2 USING (b) JOIN m3 USING (b)")
-def boot_interaction_ci(spark, sf):
-    items = cells(tidy(spark, sf), [*CELL, "domain"]).groupBy("domain", "regime", "task").agg(F.avg("cd_primary").alias("v"))
-    return R.interaction_ci([items.where((F.col("domain") == d) & (F.col("regime") == r)) for d, r in _FOUR], "task", "v", B_ITEMS, SEED)
+def _four(x: str, y: str) -> dict[str, int]:
+    return {f"{x}/H1_external": 1, f"{x}/H2_derivable": -1, f"{y}/H1_external": -1, f"{y}/H2_derivable": 1}
 
 
-def _weights(level: str, seed: int, name: str) -> str:
-    n = f"(SELECT {level}, row_number() OVER (ORDER BY {level}) - 1 AS i FROM (SELECT DISTINCT {level} FROM mc WHERE {level} IS NOT NULL))"
-    return f"SELECT b.b, l.{level}, count(*) AS {name} FROM b, {n} s JOIN {n} l ON l.i = {draw_sql(str(seed), 'b.b', 's.i')} % (SELECT count(*) FROM {n}) GROUP BY ALL"
+def _signed(x: str, y: str) -> str:
+    return " + ".join(f"({s}) * max(mean) FILTER (g = '{g}')" for g, s in _four(x, y).items())
 
 
-@book(f"""{TIDY}, b AS (SELECT unnest(range({B_VERDICT})) AS b), mc AS (SELECT {CELL_KEYS}, model, target, label, count(*) AS n FROM tidy WHERE regime = 'H1_external' AND model IS NOT NULL GROUP BY ALL),
-tw AS ({_weights('task', SEED, 'tw')}), mw AS ({_weights('model', SEED + 1, 'mw')}),
-wc AS (SELECT mc.* EXCLUDE (model, n), tw.b, max(tw) AS weight, sum(n * mw) AS n FROM mc JOIN mw USING (model) JOIN tw ON tw.task = mc.task AND tw.b = mw.b GROUP BY ALL),
+@book(f"""{CELLS}, b AS (SELECT unnest(range({B_ITEMS})) AS b), own AS (SELECT f.domain || '/' || c.regime AS g, c.task, avg(cd_primary) AS v FROM cells c JOIN task_facts f ON f.task = c.task WHERE c.regime IS NOT NULL GROUP BY ALL),
+m AS (SELECT b, g, sum(w * v) / nullif(sum(w), 0) AS mean FROM (SELECT b, g, v, {weight_sql(SEED, 'b', "g || '|' || task")} AS w FROM own, b) GROUP BY ALL), p AS (SELECT g, avg(v) AS mean FROM own GROUP BY ALL)
+{' UNION ALL '.join(f"SELECT '{x}' AS domain, '{y}' AS other, {r6(f'(SELECT {_signed(x, y)} FROM p)')} AS point, {r6(_LO)} AS lo, {r6(_HI)} AS hi FROM (SELECT b, {_signed(x, y)} AS mean FROM m GROUP BY ALL) WHERE mean IS NOT NULL" for x, y in _PAIRS)}""")
+def boot_interaction_ci(spark, sf):
+    """Interaction of regime and domain, for every two domains."""
+    items = cells(tidy(spark, sf).where("regime IS NOT NULL"), [*CELL, "domain"]).groupBy(F.concat_ws("/", "domain", "regime").alias("g"), "task").agg(F.avg("cd_primary").alias("v"))
+    items = cut(items)
+    out = None
+    for x, y in _PAIRS:
+        one = R.signed_ci(items, "task", "v", "g", _four(x, y), B_ITEMS, SEED).select(F.lit(x).alias("domain"), F.lit(y).alias("other"), "point", "lo", "hi")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _clustered(two_way: bool) -> str:
+    models = f"SELECT b, model, {weight_sql(SEED + 1, 'b', 'model')} AS mw FROM (SELECT DISTINCT model FROM mc), b" if two_way else "SELECT b, model, 1 AS mw FROM (SELECT DISTINCT model FROM mc), b"
+    return f"""{TIDY}, b AS (SELECT unnest(range({B_VERDICT})) AS b), mc AS (SELECT {CELL_KEYS}, model, target, label, count(*) AS n FROM tidy WHERE regime = 'H1_external' AND model IS NOT NULL GROUP BY ALL),
+tw AS (SELECT b, task, {weight_sql(SEED, 'b', 'task')} AS tw FROM (SELECT DISTINCT task FROM mc), b), mw AS ({models}),
+wc AS (SELECT mc.* EXCLUDE (model, n), tw.b, max(tw) AS weight, sum(n * mw) AS n FROM mc JOIN (SELECT * FROM mw WHERE mw > 0) mw USING (model) JOIN (SELECT * FROM tw WHERE tw > 0) tw ON tw.task = mc.task AND tw.b = mw.b GROUP BY ALL),
 cm AS ({measures_sql('wc', f'b, weight, {CELL_KEYS}')}),
 s AS (SELECT b, sum(weight * cd_primary) FILTER (method <> 'single') / sum(weight) FILTER (method <> 'single') - sum(weight * cd_primary) FILTER (method = 'single') / sum(weight) FILTER (method = 'single') AS d FROM cm GROUP BY ALL)
-SELECT {r6('quantile_cont(d, 0.025)')} AS lo, {r6('quantile_cont(d, 0.975)')} AS hi, CASE WHEN quantile_cont(d, 0.025) >= 0 THEN 'SUPPORTED' WHEN quantile_cont(d, 0.975) < 0 THEN 'REFUTED' ELSE 'INCONCLUSIVE' END AS verdict FROM s""")
+SELECT {r6('quantile_cont(d, 0.025)')} AS lo, {r6('quantile_cont(d, 0.975)')} AS hi, CASE WHEN quantile_cont(d, 0.025) >= 0 THEN 'SUPPORTED' WHEN quantile_cont(d, 0.975) < 0 THEN 'REFUTED' ELSE 'INCONCLUSIVE' END AS verdict FROM s"""
+
+
+def _h1a(spark, sf, how: str) -> DataFrame:
+    t = tidy(spark, sf).where("regime = 'H1_external' AND model IS NOT NULL AND method IS NOT NULL")
+    reps = S.against_single_replicates(label_counts(t, [*CELL, "model"]), CELL, B_VERDICT, SEED, how)
+    return R.percentile_ci(reps, "d").withColumn("verdict", V.verdict(F.col("lo"), F.col("hi"), at_least_zero=True))
+
+
+@book(_clustered(True))
 def cluster_boot_h1a(spark, sf):
-    t = tidy(spark, sf).where("regime = 'H1_external' AND model IS NOT NULL")
+    """Aggregation against single answers, tasks and models weighted independently."""
+    return _h1a(spark, sf, "two-way")
 
-    def gap(own: DataFrame) -> DataFrame:
-        def mean(single: bool):
-            hit = (F.col("method") == "single") if single else (F.col("method") != "single")
-            return F.try_divide(F.sum(F.when(hit, F.col("weight") * F.col("cd_primary"))), F.sum(F.when(hit, F.col("weight"))))
 
-        return own.groupBy("b").agg((mean(False) - mean(True)).alias("d"))
+@book(_clustered(False))
+def task_boot_h1a(spark, sf):
+    """The same with tasks alone as clusters."""
+    return _h1a(spark, sf, "task")
 
-    reps = R.two_way_means(label_counts(t, [*CELL, "model"]), CELL, gap, B_VERDICT, SEED)
-    return R.percentile_ci(reps, "d").withColumn("verdict", V.verdict(F.col("lo"), F.col("hi"), at_least_zero=True))
+
+@book()
+def agent_boot_h1a(spark, sf):
+    """The same with agents drawn by themselves."""
+    return _h1a(spark, sf, "agent")
 
 
 _COND = ["regime", "method", "model", "ambiguity_k"]
 
 
-def _gap_sql(by: str) -> str:
-    return f"SELECT a.{by}, {r6('a.observed')} AS observed, a.n_cells, {r6('n.null_mean')} AS null_mean, {r6('a.observed - n.null_mean')} AS delta FROM (SELECT {by}, avg(cd_primary) AS observed, count(*) AS n_cells FROM real_cells GROUP BY ALL) a JOIN (SELECT {by}, avg(cd_primary) AS null_mean FROM null_cells GROUP BY ALL) n ON a.{by} IS NOT DISTINCT FROM n.{by}"
+def _complete(spark, sf) -> DataFrame:
+    return tidy(spark, sf).where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL")
 
 
-def _real(b: int) -> str:
-    return f"{TIDY}, b AS (SELECT unnest(range({b})) AS b), ag AS (SELECT * FROM tidy WHERE regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL), rc AS (SELECT {CELL_KEYS}, target, label, count(*) AS n FROM ag GROUP BY ALL), real_cells AS ({measures_sql('rc', CELL_KEYS)})"
+def _shuffled(spark, sf, measure: str) -> DataFrame:
+    keys = ["task", *_COND]
+    counts = label_counts(_complete(spark, sf), keys)
+    return N.gap(counts, keys, N.shuffled(counts, keys, _COND, ["regime"], B_NULL, SEED, measure), ["regime"], measure)
 
 
-@book(f"""{_real(B_NULL)}, slots AS (SELECT ag.* EXCLUDE (label), b, row_number() OVER (PARTITION BY regime, method, model, ambiguity_k, b ORDER BY uid) AS k FROM ag, b),
-deal AS (SELECT regime, method, model, ambiguity_k, b, label, row_number() OVER (PARTITION BY regime, method, model, ambiguity_k, b ORDER BY {draw_sql(str(SEED), 'b', 'uid')}, uid) AS k FROM ag, b),
-nc AS (SELECT b, {CELL_KEYS}, target, label, count(*) AS n FROM slots JOIN deal USING (regime, method, model, ambiguity_k, b, k) GROUP BY ALL), null_cells AS ({measures_sql('nc', f'b, {CELL_KEYS}')}) {_gap_sql('regime')}""")
+@book()
 def shuffle_null(spark, sf):
-    t = tidy(spark, sf).where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL").drop("output")
-    null = cells(R.shuffled_labels(t, _COND, "uid", B_NULL, SEED), ["b", *CELL])
-    return R.null_gap(cells(t), null, ["regime"])
+    """Agreement beyond labels shuffled among the items of a condition, conditions weighted by their items."""
+    return _shuffled(spark, sf, "cd_primary")
 
 
-@book(f"""{_real(B_NULL)}, ul AS (SELECT ag.* EXCLUDE (label), b, 'I' || ({draw_sql(str(SEED), 'b', 'uid')} % n_interpretations) AS label FROM ag, b WHERE n_interpretations > 0),
-nc AS (SELECT b, {CELL_KEYS}, target, label, count(*) AS n FROM ul GROUP BY ALL), null_cells AS ({measures_sql('nc', f'b, {CELL_KEYS}')}) {_gap_sql('ambiguity_k')}""")
+@book()
+def shuffle_null_frozen(spark, sf):
+    """The same where I_perp may be the label agreed on."""
+    return _shuffled(spark, sf, "cd_frozen")
+
+
+@book()
 def uniform_null(spark, sf):
-    t = tidy(spark, sf).where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL").drop("output")
-    null = cells(R.uniform_labels(R.placed(t, CELL), "uid", "n_interpretations", B_NULL, SEED), ["b", *CELL])
-    return R.null_gap(cells(t), null, ["ambiguity_k"])
+    """Agreement beyond agents that take an interpretation at random."""
+    keys = [*CELL, "n_interpretations"]
+    counts = label_counts(_complete(spark, sf), keys)
+    return N.gap(counts, keys, N.uniform(counts, keys, "n_interpretations", ["ambiguity_k"], B_NULL, SEED), ["ambiguity_k"])
 
 
-@book(f"""{_real(B_VERDICT)}, pool AS (SELECT model, label, count(*) AS n FROM tidy WHERE model IS NOT NULL GROUP BY ALL), up AS (SELECT model, label, sum(n) OVER (PARTITION BY model ORDER BY label) AS upto, sum(n) OVER (PARTITION BY model) AS total FROM pool),
-dr AS (SELECT ag.* EXCLUDE (label), b, {draw_sql(str(SEED), 'b', 'uid')} AS h FROM ag, b),
-rl AS (SELECT dr.*, arg_min(up.label, up.upto) AS label FROM dr JOIN up ON up.model = dr.model AND up.upto > dr.h % up.total GROUP BY ALL),
-nc AS (SELECT b, {CELL_KEYS}, target, label, count(*) AS n FROM rl GROUP BY ALL), null_cells AS ({measures_sql('nc', f'b, {CELL_KEYS}')}) {_gap_sql('regime')}""")
+@book()
 def indep_counterfactual(spark, sf):
-    t = tidy(spark, sf).drop("output")
-    own = t.where("regime IS NOT NULL AND model IS NOT NULL AND method IS NOT NULL")
-    null = cells(R.redrawn_labels(R.placed(own, CELL), t.where("model IS NOT NULL"), "model", "uid", B_VERDICT, SEED), ["b", *CELL])
-    return R.null_gap(cells(own), null, ["regime"])
+    """Agreement beyond agents that draw independently from their models' labels, with its interval."""
+    t = tidy(spark, sf)
+    counts = label_counts(_complete(spark, sf), [*CELL, "model"])
+    pool = t.where("model IS NOT NULL").groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"))
+    return N.gap(counts, CELL, N.redrawn(counts, CELL, pool, ["regime"], "model", B_VERDICT, SEED), ["regime"])
 
 
 def _sign_sql(m: str) -> str:
@@ -322,16 +353,23 @@ def tost_paired(spark, sf):
 
 @book()
 def k_coefficient(spark, sf):
-    """Slope of concentration on ambiguity with errors clustered by task, from means of tasks and methods."""
-    rows = C.mean_by(_cells(spark, sf).where("regime = 'H1_external'"), ["task", "method", "ambiguity_k"]).toPandas()
-    x = rows["ambiguity_k"].to_numpy(float)
-    import numpy as np
-
-    beta, se, status = V.cluster_ols(rows["cd_primary"].to_numpy(float), np.column_stack([np.ones(len(rows)), x]), rows["task"].to_numpy())
-    ok = bool(np.isfinite(se[1]))
-    out = [(float(beta[1]), float(beta[1] - 1.959964 * se[1]) if ok else None, float(beta[1] + 1.959964 * se[1]) if ok else None, status)]
-    df = spark.createDataFrame(out, "point double, lo double, hi double, status string")
+    """Slope of concentration on ambiguity over tasks and methods, with a random intercept for each task or else errors clustered by task."""
+    rows = cut(C.mean_by(_cells(spark, sf).where("regime = 'H1_external'"), ["task", "method", "ambiguity_k"]))
+    d, names = L.design(rows, ["ambiguity_k"])
+    df = spark.createDataFrame([L.interval(L.fit(d, "cd_primary", names, "task"), "ambiguity_k")], "point double, lo double, hi double, status string")
     return df.withColumn("verdict", V.verdict(F.col("lo"), F.col("hi")))
 
 
+@book()
+def verdicts(spark, sf):
+    """All verdicts of the study from the tidy table."""
+    return S.evaluate(tidy(spark, sf), b=B_VERDICT, n_perm=B_NULL)
+
+
+@book()
+def gate(spark, sf):
+    """The checks that a pilot must pass."""
+    return S.pilot_gate(tidy(spark, sf), b=B_ITEMS, n_perm=B_NULL)
+
+
 QUERIES, SQL = book.queries, book.sql

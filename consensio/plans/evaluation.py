@@ -6,11 +6,11 @@ from consensio.functions import text as X
 from consensio.functions.keys import norm_key
 from consensio.functions.keys import sql_norm_key as nk
 from consensio.operators import evaluation as E
-from consensio.operators.detector import surfacing
+from consensio.operators.detector import baseline_scores, cluster_entropy, context_entropy, danger, surfacing
 from consensio.operators.labels import cells, ratio
 from consensio.operators.resample import auroc_ci
 from consensio.operators.studies import gold_stratum, recovery, recovery_gate
-from consensio.plans.base import CELLS, TIDY, Book, draw_sql, measures_sql, r6
+from consensio.plans.base import CELLS, TIDY, Book, measures_sql, r6, weight_sql
 from consensio.sources.runs import tidy
 from consensio.sources.tables import table
 
@@ -262,8 +262,7 @@ def ensemble_diagnostics(spark, sf):
 _B, _SEED = 2000, 42
 
 
-@book(f"""{SURFACING}, b AS (SELECT unnest(range({_B})) AS b), nu AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS i FROM (SELECT DISTINCT task FROM items)),
-w AS (SELECT b.b, l.task, count(*) AS w FROM b, nu s JOIN nu l ON l.i = {draw_sql(str(_SEED), 'b.b', 's.i')} % (SELECT count(*) FROM nu) GROUP BY ALL),
+@book(f"""{SURFACING}, b AS (SELECT unnest(range({_B})) AS b), w AS (SELECT b, task, {weight_sql(_SEED, 'b', 'task')} AS w FROM (SELECT DISTINCT task FROM items), b),
 per AS (SELECT b, score, coalesce(sum(w) FILTER (positive), 0) AS p, coalesce(sum(w) FILTER (NOT positive), 0) AS q FROM items JOIN w USING (task) WHERE positive IS NOT NULL GROUP BY ALL),
 x AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per),
 a AS (SELECT b, sum(p * (below + q / 2.0)) / nullif(sum(p) * sum(q), 0) AS a FROM x GROUP BY ALL), y AS (SELECT list_sort(list(a)) AS s, count(*) AS n FROM a WHERE a IS NOT NULL)
@@ -291,6 +290,58 @@ def gold_strata(spark, sf):
     return table(spark, sf, "tasks").select(norm_key("id").alias("task"), gold_stratum(F.size(F.array_distinct(checks)), F.col("key_questions")).alias("stratum"))
 
 
+# what pinning a dimension changes: the dimension is the method, its values the models, the answer the log confidence to a tenth
+
+_PINS = f"""{TIDY}, pin AS (SELECT task, method, logit_conf AS v FROM tidy WHERE method IS NOT NULL), n AS (SELECT task, method, count(*) AS n_pins, count(v) AS n_parsed FROM pin GROUP BY ALL),
+d AS (SELECT DISTINCT task, method, v FROM pin WHERE v IS NOT NULL), g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY task, method ORDER BY v) < 0.1 THEN 0 ELSE 1 END AS new FROM d),
+k AS (SELECT task, method, v, sum(new) OVER (PARTITION BY task, method ORDER BY v) AS c FROM g), cl AS (SELECT task, method, c, count(*) AS n FROM pin JOIN k USING (task, method, v) GROUP BY ALL),
+h AS (SELECT task, method, abs(log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS h, count(*) AS n_clusters FROM cl GROUP BY ALL),
+dims AS (SELECT n.task, n.method, n_pins, n_parsed, coalesce(n_clusters, 0) AS n_clusters, coalesce(h, 0) AS h_ctx FROM n LEFT JOIN h USING (task, method))"""
+
+
+def _pins(spark, sf):
+    places = F.array_position(F.array(*[F.lit(m) for m in _METHODS]), F.col("method"))
+    return tidy(spark, sf).where("method IS NOT NULL").select("task", "method", places.alias("place"), F.col("logit_conf").alias("v"))
+
+
+_METHODS = ["single", "sc", "homogeneous-mad", "heterogeneous-mad", "verifier", "interpretation-diverse"]
+
+
+@book(f"{_PINS} SELECT task, method, n_parsed, n_clusters, {r6('h_ctx')} AS h_ctx FROM dims")
+def pinned_entropy(spark, sf):
+    return cluster_entropy(_pins(spark, sf), ["task", "method"], "v", 0.1)
+
+
+@book(f"""{_PINS}, s AS (SELECT task, target, label, count(*) AS n FROM tidy GROUP BY ALL), m AS ({measures_sql('s', 'task')}),
+x AS (SELECT task, sum(n_pins) AS n_pins, sum(n_parsed) AS n_parsed, arg_max({{'h': h_ctx, 'd': method}}, (round(h_ctx, 9), -list_position({_METHODS}, method))) AS b FROM dims GROUP BY ALL)
+SELECT x.task, {r6('entropy')} AS h_seed, {r6('b.h')} AS h_ctx_max, CASE WHEN b.h > 0 THEN b.d END AS flagged_dimension, CAST(n_pins AS BIGINT) AS n_pins, CAST(n_parsed AS BIGINT) AS n_parsed, b.h > 0 AND entropy <= 0.5 AS is_flagged FROM x JOIN m USING (task)""")
+def detector_record(spark, sf):
+    """The whole record of a detector for each task: entropies, the dimension that matters, and the danger quadrant."""
+    ctx = context_entropy(_pins(spark, sf), ["task"], "method", "place", "v", 0.1)
+    seed = cells(tidy(spark, sf), ["task"]).select("task", F.col("entropy").alias("h_seed"))
+    out = ctx.join(seed, "task")
+    return out.select("task", "h_seed", "h_ctx_max", "flagged_dimension", "n_pins", "n_parsed", danger(F.col("h_ctx_max"), F.col("h_seed")).alias("is_flagged"))
+
+
+@book(f"""{TIDY}, s AS (SELECT task, target, label, count(*) AS n FROM tidy GROUP BY ALL), m AS ({measures_sql('s', 'task')}), c AS (SELECT task, avg(exp(logit_conf)) AS conf FROM tidy GROUP BY ALL)
+SELECT task, {r6('entropy')} AS seed_entropy, {r6('1 - conf')} AS token_logprob, {r6('1 - consistency')} AS self_consistency, CAST(coalesce(len(key_questions), 0) AS DOUBLE) AS requirements_probing FROM m JOIN c USING (task) JOIN task_facts USING (task)""")
+def baseline_signals(spark, sf):
+    """Scores that the detector is compared with; the stored confidences are mean log probabilities."""
+    t = tidy(spark, sf)
+    conf = t.groupBy("task").agg(F.avg(F.exp("logit_conf")).alias("conf"))
+    q = table(spark, sf, "tasks").select(norm_key("id").alias("task"), F.size("key_questions").alias("q"))
+    rows = cells(t, ["task"]).select("task", "entropy", "consistency").join(conf, "task").join(q, "task")
+    return rows.select("task", *baseline_scores(F.col("entropy"), F.col("conf"), F.col("consistency"), F.col("q")))
+
+
+@book(rf"""WITH d AS (SELECT {nk('id')} AS task, list_distinct(list_filter(list_transform(interpretations, lambda e: regexp_replace(e.gold_check, '^\s+|\s+$', '', 'g')), lambda v: v <> '')) AS v, regexp_replace(domain, '^\s+|\s+$', '', 'g') AS name FROM tasks) SELECT task, CASE WHEN len(v) >= 2 AND name <> '' THEN 1 ELSE 0 END AS n_dimensions, CASE WHEN len(v) >= 2 AND name <> '' THEN len(v) ELSE 0 END AS n_values FROM d""")
+def dimensions_of_tasks(spark, sf):
+    """Dimensions that a task's interpretations span, after cleaning: the domain with the checks as values."""
+    dims = F.array(F.struct(F.col("domain").alias("dimension"), F.col("interpretations.gold_check").alias("values")))
+    d = table(spark, sf, "tasks").select(norm_key("id").alias("task"), X.clean_dimensions(dims).alias("d"))
+    return d.select("task", F.size("d").alias("n_dimensions"), F.coalesce(F.aggregate("d", F.lit(0), lambda acc, x: acc + F.size(x["values"])), F.lit(0)).alias("n_values"))
+
+
 @book()
 def reasoning_stripped(spark, sf):
     """Characters of answers with and without reasoning, by model."""

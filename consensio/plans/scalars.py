@@ -5,6 +5,7 @@ from pyspark.sql.window import Window as W
 
 from consensio.operators.detector import tolerance_clusters
 from consensio.operators.evaluation import mid_rank
+from consensio.operators.order import null_safe_join, percentiles
 from consensio.plans.base import Book, r6
 from consensio.sources.tables import table
 
@@ -15,7 +16,9 @@ book = Book()
 def four_means(spark, sf):
     x = F.col("o_totalprice")
     pos = F.when(x > 0, x)
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.percentile(x, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), F.exp(F.avg(F.ln(pos))).alias("geometric"), F.try_divide(F.count(pos).cast("double"), F.sum(1 / pos)).alias("harmonic"))
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice")
+    means = o.groupBy("o_orderpriority").agg(F.avg(x).alias("mean"), F.exp(F.avg(F.ln(pos))).alias("geometric"), F.try_divide(F.count(pos).cast("double"), F.sum(1 / pos)).alias("harmonic"))
+    return null_safe_join(means, percentiles(o, ["o_orderpriority"], "o_totalprice", {"median": 0.5}), ["o_orderpriority"], "left")
 
 
 @book(f"SELECT l_returnflag, l_linestatus, {r6('sum(l_quantity * l_extendedprice) / nullif(sum(l_quantity), 0)')} AS weighted, {r6('avg(l_extendedprice)')} AS plain, {r6('stddev_samp(l_quantity)')} AS sd_sample, {r6('stddev_pop(l_quantity)')} AS sd_population FROM lineitem GROUP BY ALL")
