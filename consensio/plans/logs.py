@@ -132,15 +132,17 @@ def first_and_last(spark, sf):
 
 @book("WITH s AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) SELECT user_id, " + r6("avg(step)") + " AS mean_step, count(step) AS n_steps FROM s GROUP BY ALL")
 def mean_step(spark, sf):
-    """Mean change from one value of a user to the next. A user's events are ordered by day; a day's first value follows the last one of the day before that has any."""
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", F.to_date("ts").alias("day"))
-    at = F.struct("ts", "event_id")
-    w = W.partitionBy("user_id", "day").orderBy("ts", "event_id")
-    days = e.withColumn("step", F.col("value") - F.lag("value").over(w)).groupBy("user_id", "day").agg(F.sum("step").alias("s"), F.count("step").alias("n"), F.min_by("value", at).alias("first"), F.max_by("value", at).alias("last"))
-    days = days.withColumn("step", F.col("first") - F.lag("last").over(W.partitionBy("user_id").orderBy("day")))
-    total = F.sum(F.coalesce("s", F.lit(0.0))) + F.sum(F.coalesce("step", F.lit(0.0)))
-    n = F.sum("n") + F.count("step")
-    return days.groupBy("user_id").agg(F.try_divide(F.round(total, 9), F.nullif(n, F.lit(0)).cast("double")).alias("mean_step"), n.alias("n_steps"))
+    """Mean change from one value of a user to the next, added up in their order; a user is one group. slope_per_day needs none."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select("user_id", (F.col("value") - F.lag("value").over(w)).alias("step")).groupBy("user_id").agg(F.avg("step").alias("mean_step"), F.count("step").alias("n_steps"))
+
+
+@book("SELECT user_id, " + r6("(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id))) * 86400000000.0 / nullif(max(epoch_us(ts)) - min(epoch_us(ts)), 0)") + " AS per_day FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def slope_per_day(spark, sf):
+    """Change from the first to the last value of a user over the days between them, without sorting."""
+    at, t = F.struct("ts", "event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    change = F.max_by("value", at) - F.min_by("value", at)
+    return table(spark, sf, "events").where("value IS NOT NULL").groupBy("user_id").agg((change * 86_400_000_000 / F.nullif(F.max(t) - F.min(t), F.lit(0))).alias("per_day"))
 
 
 @book("WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, count(*) AS own, " + r6("count(*) * 1.0 / any_value(u.n)") + " AS share FROM events JOIN u USING (user_id) GROUP BY ALL")
