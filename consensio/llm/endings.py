@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from consensio.operators.durable import cut, fits
+from consensio.operators.durable import cut, fits, hot_keys, salted_join
 
 #: Log-odds that an ending lends to the text being cut off.
 STRONG, CUT, OPEN, LIKELY_WHOLE, WHOLE = 9.0, 6.0, 1.0, -1.5, -7.0
@@ -25,10 +25,6 @@ _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|�+|[\[(<](?:\W*)(?:truncated|cut off|
 _CLOSERS = "*_`\"'”’»)]}>）」』】》"
 _FINAL = ".!?。！？…؟।"
 _NUMBER = r"[-+(]?[$€£¥]?\d[\d.,' ]*(?:%|[$€£¥])?\)?"
-#: Lines that give a result or a confidence; whole if the number is there.
-_RESULT = re.compile(rf"^\W*(?:final answer|answer|result|the result is|das ergebnis ist|ergebnis|antwort|réponse|résultat|le résultat est|respuesta|resultado|el resultado es|答案|结果|=+>)\s*(?:is|ist|est|es|是)?\s*[:：=]?\s*(\**)\s*({_NUMBER})(\**)\W*$", re.I)
-_SURE = re.compile(r"^\W*(?:(?:confidence(?: level)?|sicherheit|konfidenz|confiance|confianza|seguridad|把握|置信度)\W*\d{1,3}\s*%?\W*|i am \d+ ?% sure\W*|ich bin (?:mir )?zu \d+ ?% sicher\W*|j'en suis sûre? à \d+ ?%\W*|estoy segur[oa] al \d+ ?%\W*)$", re.I)
-_SURE_OPEN = re.compile(r"^\W*(?:(?:confidence(?: level)?|sicherheit|konfidenz|confiance|confianza|seguridad|把握|置信度)\W*|i am(?: \d+ ?%?(?: su?r?)?)?|ich bin(?: zu(?: \d+ ?%?(?: sic?h?e?)?)?)?|j'en suis(?: sû?r?e?(?: à(?: \d+ ?%?)?)?)?|estoy segur[oa]?(?: al(?: \d+ ?)?)?)\s*$", re.I)
 _CODE_LINE = re.compile(r"^(?:def |class |import |from \w+ import |@\w|async def |for \w+ in |while |if .*:$|return\b|[A-Za-z_]\w*(?:\[.*\]|\.\w+)* ?(?:[-+*/]?=) ?\S)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _LIST_MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s*$")
@@ -93,21 +89,21 @@ def _code(code: str) -> float:
     return LIKELY_WHOLE
 
 
+def _last_line(body: str, usual: float | None) -> float:
+    """Evidence from the last line of a text; usual: see last_lines."""
+    if usual is not None and usual < -1 and not _LIST_MARK.match(body[body.rfind("\n") + 1 :]):
+        return max(WHOLE, usual)
+    found = _prose(body)
+    return found + usual if usual is not None and usual > 2 and found <= OPEN else found
+
+
 def _prose(body: str) -> float:
     """Evidence from the last line of prose."""
     line = body[body.rfind("\n") + 1 :].strip()
     if _LIST_MARK.match(line):
         return CUT
-    if _SURE.match(line):
-        return WHOLE if line[-1] in "%*.!" or "=" in line else LIKELY_WHOLE
-    m = _RESULT.match(line)
-    if m:
-        if line.count("**") % 2 or (m[1] and not m[3]):
-            return CUT
-        whole = line.rstrip("*").endswith((".", "。")) or bool(m[3]) or bool(re.search(r"\.\d\d$|%$", m[2]))
-        return WHOLE if whole else LIKELY_WHOLE
-    if _SURE_OPEN.match(line) and "\n" in body:
-        return CUT
+    if line.count("**") % 2:
+        return CUT  # bold type that does not end
     words = line.split()
     core = line.rstrip(_CLOSERS)
     last = core[-1:] or line[-1]
@@ -137,10 +133,11 @@ def _prose(body: str) -> float:
     return CUT
 
 
-def ending_evidence(text: str | None) -> float | None:
+def ending_evidence(text: str | None, usual: float | None = None) -> float | None:
     """Log-odds from the ending that the text breaks off; None for an absent or blank text.
 
-    The whole text is read: an open code fence or reasoning tag anywhere counts.
+    The whole text is read: an open code fence or reasoning tag anywhere counts. usual: how much more often texts cut anywhere
+    end in the form of its last line than texts do (see last_lines); None where that is not known.
     """
     if text is None:
         return None
@@ -172,12 +169,40 @@ def ending_evidence(text: str | None) -> float | None:
         return _code(rest)
     if not fences and rest.startswith(("{", "[")):
         return CUT if _delimiters(rest) else WHOLE
-    return _prose(rest or s)
+    return _last_line(rest or s, usual)
 
 
 @F.pandas_udf(DoubleType())
-def ending_evidence_udf(text: pd.Series) -> pd.Series:
-    return text.map(ending_evidence, na_action="ignore").astype("float64")
+def ending_evidence_udf(text: pd.Series, usual: pd.Series) -> pd.Series:
+    known = usual.where(usual.notna(), None) if usual.notna().any() else [None] * len(text)
+    return pd.Series([ending_evidence(t, None if u is None or u != u else u) for t, u in zip(text, known)], dtype="float64")
+
+
+#: Last lines of at most so many characters have a form; one is known that at least FORM_COUNT texts and one in FORM_SHARE end in, so
+#: there are fewer than FORM_SHARE forms.
+FORM_CHARS, FORM_COUNT, FORM_SHARE = 48, 20, 10_000
+
+
+def form_of(text: Column) -> Column:
+    """Hash of the form of a text's last line: in lower case, a whole number is 0, every digit after a point or comma 0; NULL if the line is longer than FORM_CHARS or blank."""
+    line = F.trim(F.substring_index(F.regexp_replace(text, r"[\s\x{200B}\x{2060}\x{FEFF}]+$", ""), "\n", -1))
+    return F.when((line != "") & (F.length(line) <= FORM_CHARS), F.xxhash64(F.translate(F.regexp_replace(F.lower(line), r"(?<![.,\d])\d+", "0"), "123456789", "000000000")))
+
+
+def last_lines(texts: DataFrame, text: Column, key: str) -> DataFrame:
+    """form, usual: for each common form of last lines, the log of how much more often it ends a text that is cut than a text as it is.
+
+    Every text is cut once, at a place drawn by its key, so both shares are of all texts. 'confidence: 0%' ends many texts and few
+    cut ones, 'confiden' the other way round, in whatever language. Only hashes and counts are shuffled.
+    """
+    cut_at = F.pmod(F.xxhash64(F.lit("cut"), F.col(key)), F.greatest(F.lit(1), F.length(text))) + 1
+    both = F.array(F.struct(F.lit(0).alias("cut"), form_of(text).alias("form")), F.struct(F.lit(1).alias("cut"), form_of(F.substring(text, F.lit(1), cut_at.cast("int"))).alias("form")))
+    rows = texts.where(text.isNotNull()).select(F.explode(both).alias("e")).select("e.*")
+    n = rows.groupBy("form").agg(F.count_if(F.col("cut") == 0).alias("whole"), F.count_if(F.col("cut") == 1).alias("cuts"))
+    total = n.agg(F.sum("whole").alias("n")).withColumn("least", F.greatest(F.lit(FORM_COUNT), F.col("n") / FORM_SHARE))
+    # one row; texts without a form are in the total
+    known = n.where("form IS NOT NULL").join(F.broadcast(total)).where(F.col("whole") + F.col("cuts") >= F.col("least"))
+    return known.select("form", F.log((F.col("cuts") + 0.5) / (F.col("whole") + 0.5)).alias("usual"))
 
 
 def _phi(z: float) -> float:
@@ -257,16 +282,20 @@ def limits(texts: DataFrame) -> DataFrame:
     return counts.groupBy("dim", "source", "measure").applyInPandas(fit, "dim string, source string, measure string, value bigint, p double")
 
 
-def with_cut(texts: DataFrame, text: Column) -> DataFrame:
+def with_cut(texts: DataFrame, text: Column, key: str = "row_key") -> DataFrame:
     """texts (see limits) with `evidence`, `p_limit` and `is_cut`; evidence is null and is_cut false for blank texts."""
     found = cut(limits(texts))
     small = fits(found, 100_000)
-    out = texts.withColumn("evidence", ending_evidence_udf(text))
+    forms = cut(last_lines(texts, text, key))  # fewer than FORM_SHARE, see there
+    out = texts.withColumn("_form", form_of(text)).join(F.broadcast(forms.withColumnRenamed("form", "_form")), "_form", "left").withColumn("evidence", ending_evidence_udf(text, F.col("usual"))).drop("_form", "usual")
     names = []
     for i, (d, m) in enumerate(_SOURCES):
         part = found.where((F.col("dim") == d) & (F.col("measure") == m)).select(F.col("source").alias("_s"), F.col("value").alias("_v"), F.col("p").alias(f"_p{i}"))
-        part = F.broadcast(part) if small else part
-        out = out.join(part, (F.concat_ws("\t", "origin", d) == F.col("_s")) & (F.col(m) == F.col("_v")), "left").drop("_s", "_v")
+        out = out.withColumns({"_s": F.concat_ws("\t", "origin", d), "_v": F.col(m).cast("bigint")})
+        if small:
+            out = out.join(F.broadcast(part), ["_s", "_v"], "left").drop("_s", "_v")
+        else:
+            out = salted_join(out, part, ["_s", "_v"], hot_keys(out.select("_s", "_v"), ["_s", "_v"]), "left").drop("_s", "_v")
         names.append(f"_p{i}")
     out = out.withColumn("p_limit", F.greatest(*[F.coalesce(F.col(k), F.lit(BASE_RATE)) for k in names])).drop(*names)
     return out.withColumn("is_cut", F.coalesce(F.log(F.col("p_limit") / (1 - F.col("p_limit"))) + F.col("evidence") > 0, F.lit(False)))

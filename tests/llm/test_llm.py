@@ -1,5 +1,6 @@
 """The llm operators against brute force and on edge cases."""
 
+import math
 import os
 import random
 
@@ -30,7 +31,7 @@ def test_cut_endings(text):
 
 @pytest.mark.parametrize(
     "text",
-    ["42", "Q3", "**145**", "[36, 54]", "ok thanks", PROSE, PROSE + "\n\nConfidence: 72%", "=> 1627.30", "```python\ndef f(x):\n    return x + 1\n```", "<think>short</think>\n\n7", "def f(x):\n    return x * 2 + 1", "每一条电表读数只计算一次。", '"quoted answer."', "Final answer: 16.50", "confidence=72", "He said so (see page 3).", "None"],
+    ["42", "Q3", "**145**", "[36, 54]", "ok thanks", PROSE, "```python\ndef f(x):\n    return x + 1\n```", "<think>short</think>\n\n7", "def f(x):\n    return x * 2 + 1", "每一条电表读数只计算一次。", '"quoted answer."', "He said so (see page 3).", "None"],
 )
 def test_whole_endings(text):
     assert endings.ending_evidence(text) < 0
@@ -58,7 +59,7 @@ def test_censored_fit_recovers_parameters():
 
 
 def texts(spark, rows):
-    return spark.createDataFrame(rows, "text string, endpoint string, model string, tokens int").select("*", F.lit("t").alias("origin"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    return spark.createDataFrame(rows, "text string, endpoint string, model string, tokens int").select("*", F.monotonically_increasing_id().alias("row_key"), F.lit("t").alias("origin"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
 
 
 def test_limits_decide_doubtful_endings(spark):
@@ -68,6 +69,21 @@ def test_limits_decide_doubtful_endings(spark):
     got = endings.with_cut(texts(spark, body + cut + [(None, None, None, None), ("", "e", "m", 5)]), F.col("text")).groupBy("is_cut").count().collect()
     assert {r["is_cut"]: r["count"] for r in got} == {True: 60, False: 302}
     assert endings.with_cut(texts(spark, []), F.col("text")).count() == 0
+    # without the limits none of them is
+    judged = endings.with_cut(texts(spark, body + cut), F.col("text"))
+    assert judged.where("is_cut AND p_limit > 0.5").count() == 60 and judged.where(F.col("evidence") > -math.log(endings.BASE_RATE / (1 - endings.BASE_RATE))).count() == 0
+
+
+def test_common_last_lines_are_learned(spark):
+    rng = random.Random(11)
+    # in a language that no list knows: a line of certainty ends every text, and some texts are cut within it
+    whole = [(f"{PROSE}\n\nGewisz: {rng.randrange(10, 100)}.{rng.randrange(10, 100)} pct", "e", "m", None) for _ in range(3000)]
+    broken = [(f"{PROSE}\n\nGewisz: {rng.randrange(10, 100)}{tail}", "e", "m", None) for tail in (".", ".4", " p", ".37 pc", "") for _ in range(4)]
+    got = endings.with_cut(texts(spark, whole + broken), F.col("text")).groupBy(F.col("text").endswith("pct").alias("whole"), "is_cut").count().collect()
+    assert {(r["whole"], r["is_cut"]): r["count"] for r in got if r["whole"]} == {(True, False): 3000}
+    assert sum(r["count"] for r in got if not r["whole"] and r["is_cut"]) >= 16
+    forms = {t: f for t, f in spark.createDataFrame([("a\n Gewisz: 72.50 PCT \n",), ("gewisz: 9.13 pct",), ("gewisz: 9.1 pct",), ("x" * 99,), ("",), (None,)], "t string").select("t", endings.form_of(F.col("t"))).collect()}
+    assert forms["a\n Gewisz: 72.50 PCT \n"] == forms["gewisz: 9.13 pct"] != forms["gewisz: 9.1 pct"] and forms["x" * 99] is None and forms[""] is None and forms[None] is None
 
 
 # 5: pairs
