@@ -77,8 +77,11 @@ def test_limits_decide_doubtful_endings(spark):
 def test_common_last_lines_are_learned(spark):
     rng = random.Random(11)
     # in a language that no list knows: a line of certainty ends every text, and some texts are cut within it
-    whole = [(f"{PROSE}\n\nGewisz: {rng.randrange(10, 100)}.{rng.randrange(10, 100)} pct", "e", "m", None) for _ in range(3000)]
-    broken = [(f"{PROSE}\n\nGewisz: {rng.randrange(10, 100)}{tail}", "e", "m", None) for tail in (".", ".4", " p", ".37 pc", "") for _ in range(4)]
+    def body():
+        return "word " * rng.randrange(5, 60) + "end."
+
+    whole = [(f"{body()}\n\nGewisz: {rng.randrange(10, 100)}.{rng.randrange(10, 100)} pct", "e", "m", None) for _ in range(3000)]
+    broken = [(f"{body()}\n\nGewisz: {rng.randrange(10, 100)}{tail}", "e", "m", None) for tail in (".", ".4", " p", ".37 pc", "") for _ in range(4)]
     got = endings.with_cut(texts(spark, whole + broken), F.col("text")).groupBy(F.col("text").endswith("pct").alias("whole"), "is_cut").count().collect()
     assert {(r["whole"], r["is_cut"]): r["count"] for r in got if r["whole"]} == {(True, False): 3000}
     assert sum(r["count"] for r in got if not r["whole"] and r["is_cut"]) >= 16
