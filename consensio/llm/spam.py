@@ -2,9 +2,9 @@
 
 A document is cut into blocks. In a block, links and tags become one sign each, so that lists of them are
 as repetitive as they look; the block's compression ratio is then compared with what blocks of its length
-and language usually have. Blocks that are extremely redundant, or links and tags alone, and that have
-neither the punctuation of sentences nor their function words are spam; so is a document of which they
-are more than half.
+and language usually have. Blocks that are extremely redundant, and that have neither the punctuation of
+sentences nor their function words, are spam; so is a document of which they are more than half. Code, figures
+and lists of labels are redundant by nature and are left out.
 """
 
 import math
@@ -24,7 +24,7 @@ from consensio.sources.tables import table
 #: Characters of a block at which the next line or sentence begins a new one.
 BLOCK_CHARS = 400
 #: Blocks whose log compression ratio is so many standard deviations below the usual one are redundant.
-REDUNDANT = -1.5
+REDUNDANT = -2.5
 #: Sentences per word, and share of function words, below which a block has no sentences.
 SENTENCE_DENSITY, FUNCTION_WORDS = 0.04, 0.2
 #: A pair of words that takes up this share of a block's words is a keyword it is stuffed with.
@@ -34,7 +34,11 @@ LINK_BYTES = 30
 #: A document is spam if more than this share of it is.
 SPAM_SHARE = 0.5
 
-_LINK = re.compile(r"<a\s[^>]*>.*?</a>|!?\[[^\]\n]{0,120}\]\((?:https?://|www\.)?[^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|biz|io|example|invalid|test|shop|xyz)(?:/[^\s<>\"')\]]*)?", re.I | re.S)
+#: Generic domains that are links without a scheme or a path. Fixed values.
+_GENERIC = "com|org|net|info|biz"
+#: A host of letters and a top level of letters, with a path or a generic top level, is a link without a scheme.
+_HOST = rf"(?<![\w@./-])(?:[a-z0-9][a-z0-9-]*\.)+(?:[a-z]{{2,24}}/[^\s<>\"')\]]+|(?:{_GENERIC})\b(?![\w.]))"
+_LINK = re.compile(rf"<a\s[^>]*>.*?</a>|!?\[[^\]\n]{{0,120}}\]\((?:https?://|www\.)?[^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+|{_HOST}", re.I | re.S)
 _HASH = re.compile(r"(?<![\w#&])#[^\W\d_][\w-]*|(?<![\w#&])#\d+[^\W\d_][\w-]*")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"[.!?](?=[\s\"')\]”»]|$)|[。！？]")
@@ -50,7 +54,7 @@ _ZH = frozenset("的了是在不有和就都也而及与着或被把从这那其
 
 
 _WEIGHT = dict.fromkeys(_VOTES, 1.0) | dict.fromkeys(_ZH, 2.5)
-_DOMAIN = re.compile(r"\w\.(?:com|org|net|info|biz|io|example|invalid|test|shop|xyz)\b", re.I)
+_DOMAIN = re.compile(_HOST, re.I)
 _NO_DIGITS = dict.fromkeys(map(ord, "0123456789"))
 _ENDS = ".!?。！？"
 
@@ -218,10 +222,8 @@ def spam(docs: DataFrame, key: str, text: str) -> DataFrame:
     mean = F.coalesce("mean", "mean_all", F.lit(-0.4))
     sd = F.greatest(F.coalesce("sd", "sd_all", F.lit(0.1)), F.lit(0.05))
     z = (F.col("ratio") - mean) / sd
-    few = (F.col("density") < SENTENCE_DENSITY) & (F.col("function") < FUNCTION_WORDS)
-    listed = F.col("share") > 0.3
-    words = F.col("kind").isin("other") & (F.col("n_words") > 1) & few & (z < REDUNDANT)
-    bad = (listed & (F.col("function") < 0.2) & (F.col("density") < 2 * SENTENCE_DENSITY)) | words
+    # redundancy flags a block, and its want of sentences and of their words confirms it; links and tags are in both as one sign each
+    bad = (F.col("kind") == "other") & (z < REDUNDANT) & (F.col("density") < SENTENCE_DENSITY) & (F.col("function") < FUNCTION_WORDS)
     total = b.groupBy("_key").agg(F.sum(F.when(bad, F.col("n_bytes")).otherwise(0)).alias("bad"), F.sum("n_bytes").alias("n_bytes"))
     return total.select(F.col("_key").alias(key), F.round(F.try_divide("bad", "n_bytes"), 6).alias("spam_share"))
 
