@@ -177,8 +177,8 @@ def block_facts(kind: str, lines: list[str]) -> tuple:
         weight += share_of
         if i < n_ends and len(x) >= 4 and share_of >= FUNCTION_WORDS * len(x) and not (stuffed and keyword in zip(x, x[1:])):
             n += 1
-    density = n / max(1, len(ws) + len(links) + len(tags))
-    function = 0.0 if stuffed else weight / max(1, len(ws))
+    units = max(1, len(ws) + len(links) + len(tags))  # a link or a tag is as good as a word
+    density, function = n / units, 0.0 if stuffed else weight / units
     if kind == "prose" and (function < FUNCTION_WORDS or len(ws) <= 4):
         kind = "other"
     n_bytes = len(bare.encode()) + sum(min(LINK_BYTES, len(x)) for x in links) + sum(map(len, tags))

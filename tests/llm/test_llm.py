@@ -336,6 +336,24 @@ def test_blocks_keep_everything():
         assert "".join("".join(spam.blocks(t)).split()) == "".join(t.split())
 
 
+def test_compression_decides(spark, monkeypatch):
+    rng = random.Random(12)
+    # without sentences both: distinct words in one, the same few over and over in the other
+    names = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    rows = [(0, "\n".join(" ".join(rng.sample(names, 6)) for _ in range(25))), (1, "\n".join(" ".join(rng.choice(["meter app", "free rota", "cheap audit"]) for _ in range(3)) for _ in range(25)))]
+    rows += [(k, " ".join(f"The contract in {n.title()} pays {rng.randrange(900)} for each ticket above the limit of {rng.randrange(90)}, at least when it is {m}." for n, m in zip(rng.sample(names, 12), rng.sample(names, 12)))) for k in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r["doc_id"] for r in spam.spam(df, "doc_id", "text").where("spam_share > 0.5").collect()] == [1]
+    monkeypatch.setattr(spam, "REDUNDANT", 1e9)
+    assert sorted(r["doc_id"] for r in spam.spam(df, "doc_id", "text").where("spam_share > 0.5").collect()) == [0, 1]
+
+
+def test_long_lines_of_links(spark):
+    rng = random.Random(13)
+    one = " ".join(f'<a href="https://x{rng.randrange(99)}.made-up/p/{rng.randrange(9999)}">{rng.choice(KEYS)}</a>' for _ in range(60))
+    assert spam.spam(spark.createDataFrame([(1, one)], "doc_id bigint, text string"), "doc_id", "text").first()["spam_share"] > 0.5
+
+
 def test_spam_of_nothing(spark):
     assert spam.spam(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
 
