@@ -91,10 +91,12 @@ def _code(code: str) -> float:
 
 def _last_line(body: str, usual: float | None) -> float:
     """Evidence from the last line of a text; usual: see last_lines."""
-    if usual is not None and usual < -1 and not _LIST_MARK.match(body[body.rfind("\n") + 1 :]):
-        return max(WHOLE, usual)
     found = _prose(body)
-    return found + usual if usual is not None and usual > 2 and found <= OPEN else found
+    if usual is None:
+        return found
+    if usual < -1 and not _LIST_MARK.match(body[body.rfind("\n") + 1 :]):
+        return max(WHOLE, min(found, usual))
+    return found + usual if usual > 2 and found <= OPEN else found
 
 
 def _prose(body: str) -> float:
@@ -185,7 +187,9 @@ FORM_CHARS, FORM_COUNT, FORM_SHARE = 48, 20, 10_000
 
 def form_of(text: Column) -> Column:
     """Hash of the form of a text's last line: in lower case, a whole number is 0, every digit after a point or comma 0; NULL if the line is longer than FORM_CHARS or blank."""
-    line = F.trim(F.substring_index(F.regexp_replace(text, r"[\s\x{200B}\x{2060}\x{FEFF}]+$", ""), "\n", -1))
+    # what ends in a longer line needs no more of the text than shows that
+    tail = F.right(F.rtrim(text, F.lit(" \t\r\n\f\v\u00a0\u200b\u2060\ufeff")), F.lit(FORM_CHARS + 1))
+    line = F.trim(F.substring_index(tail, "\n", -1))
     return F.when((line != "") & (F.length(line) <= FORM_CHARS), F.xxhash64(F.translate(F.regexp_replace(F.lower(line), r"(?<![.,\d])\d+", "0"), "123456789", "000000000")))
 
 
@@ -199,6 +203,7 @@ def last_lines(texts: DataFrame, text: Column, key: str) -> DataFrame:
     both = F.array(F.struct(F.lit(0).alias("cut"), form_of(text).alias("form")), F.struct(F.lit(1).alias("cut"), form_of(F.substring(text, F.lit(1), cut_at.cast("int"))).alias("form")))
     rows = texts.where(text.isNotNull()).select(F.explode(both).alias("e")).select("e.*")
     n = rows.groupBy("form").agg(F.count_if(F.col("cut") == 0).alias("whole"), F.count_if(F.col("cut") == 1).alias("cuts"))
+    n = cut(n)  # for the total and for the forms
     total = n.agg(F.sum("whole").alias("n")).withColumn("least", F.greatest(F.lit(FORM_COUNT), F.col("n") / FORM_SHARE))
     # one row; texts without a form are in the total
     known = n.where("form IS NOT NULL").join(F.broadcast(total)).where(F.col("whole") + F.col("cuts") >= F.col("least"))
