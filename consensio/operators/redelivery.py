@@ -4,18 +4,23 @@ Every identity becomes a 64-bit hash. Hashes and time buckets, twelve bytes a ro
 shards of the hash space after repeats within a batch are folded. Each shard reads its rows as a
 stream and keeps one Bloom filter per time bucket: what no filter of any bucket knows is definitely
 new and goes no further. For the rest, the pair of hash and bucket, and the pairs of the buckets whose
-filters know it, are noted. Only rows of those pairs are then read from the bucketed storage and
-compared by all columns of their identity.
+filters know it, are noted. The table is then read again, each row is tested where it is read against the noted
+pairs, or a filter of them where they are many, and only matching rows are shuffled and compared by all columns of
+their identity.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from consensio.operators.durable import cut, salted_join
+from consensio.operators.durable import cut, fits, salted_join
 
 BITS_PER_ID = 16
+#: Words of 64 bits of the filter that is sent to all executors at most; with more pairs it lets more rows pass, never fewer.
+SENT_WORDS = 1 << 22
 PROBES = 6
 SHARD_ROWS = 2_000_000
 
@@ -110,6 +115,36 @@ def possible_repeats(rows: DataFrame, total: int, buckets: int) -> DataFrame:
     return noted.groupBy("h", "bucket").agg(F.sum("n").alias("n"))
 
 
+def matching(store: DataFrame, pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of store (h, bucket, ...) whose pair is in pairs (h, bucket, n).
+
+    Pairs that fit are sent to the scan. Of more pairs a filter is, of SENT_WORDS words at most, built by aggregation; what passes
+    it is joined with the pairs, hot ones salted.
+    """
+    if fits(pairs):
+        return store.join(F.broadcast(pairs.select("h", "bucket")), ["h", "bucket"], "left_semi")
+    size = 8
+    while size < SENT_WORDS and size * 64 < pairs.count() * BITS_PER_ID:
+        size *= 2
+
+    def bits(batches):
+        for b in batches:
+            at, bit = Bloom._at(b.column("h").to_numpy(zero_copy_only=False), size // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(bit.ravel().view(np.int64))], names=["at", "bit"])
+
+    words = np.zeros(size, np.uint64)
+    own = pairs.select("h").mapInArrow(bits, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("w")).toPandas()  # SENT_WORDS rows at most
+    words[own["at"]] = own["w"].to_numpy(np.int64).view(np.uint64)
+    sent = store.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf(BooleanType())
+    def may_match(h: pd.Series) -> pd.Series:
+        at, bit = Bloom._at(h.to_numpy(), size // 8)
+        return pd.Series(((sent.value[at] & bit) != 0).all(0))
+
+    return salted_join(store.where(may_match("h")), pairs.select("h", "bucket"), ["h", "bucket"], hot, "left_semi")
+
+
 def surplus_rows(df: DataFrame, identity: dict[str, Column], position: str, time: str) -> DataFrame:
     """Rows of df whose identity also occurs at a smaller `position`, with the position that is kept.
 
@@ -126,7 +161,7 @@ def surplus_rows(df: DataFrame, identity: dict[str, Column], position: str, time
     total, buckets = store.agg(F.count(F.lit(1)), F.approx_count_distinct("bucket")).first()
     pairs = cut(possible_repeats(store.select("h", "bucket"), total, buckets))
     hot = pairs.where(F.col("n") >= max(100, total / 2000)).select("h", "bucket")
-    doubtful = cut(salted_join(store, pairs.select("h", "bucket"), ["h", "bucket"], hot, "left_semi"))
+    doubtful = cut(matching(store, pairs, hot))
     # exact: by all columns of the identity
     kept = doubtful.groupBy("h", *names).agg(F.min("_pos").alias("kept_at"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hot = kept.where(F.col("n") >= max(100, total / 2000)).select("h").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from consensio.functions.keys import norm_endpoint, norm_key
 from consensio.operators import orphans as O
+from consensio.operators import redelivery
 from consensio.operators.durable import hot_keys, salted_join
 from consensio.operators.redelivery import Bloom, keep_first, surplus_rows
 
@@ -25,7 +26,11 @@ def log(spark, n=3000, hot=0.35):
     return spark.createDataFrame(rows, LOG), rows
 
 
-def test_surplus_rows_equal_brute_force(spark):
+@pytest.mark.parametrize("many", [False, True])
+def test_surplus_rows_equal_brute_force(spark, monkeypatch, many):
+    if many:  # more doubtful pairs than are sent: a small filter
+        monkeypatch.setattr(redelivery, "fits", lambda df: False)
+        monkeypatch.setattr(redelivery, "SENT_WORDS", 64)
     df, rows = log(spark)
     got = {r[0]: r[1] for r in surplus_rows(df.repartition(7), {"a": norm_key("a"), "b": F.col("b")}, "pos", "ts").collect()}
     first, want = {}, {}
