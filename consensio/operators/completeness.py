@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def job_grid(tasks: DataFrame, configs: list[str], seeds: list[int], models: list[str], pools: dict[str, str], agents: dict[str, int]) -> DataFrame:
@@ -63,3 +64,14 @@ def first_wins(log: DataFrame, identity: list[str], position: str) -> DataFrame:
 
 def pending(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def listed(cells: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
+    """The first cells of each status but ok, in the order of their keys: status, place, keys, n. A report of `most` rows for each status.
+
+    Each partition keeps its own first ones before the shuffle, so no task sorts all cells of a status.
+    """
+    bad = cells.where("status <> 'ok'").select("status", *keys, "n")
+    part = bad.withColumn("_p", F.pmod(F.xxhash64(*keys), F.lit(64)))
+    first = part.withColumn("_k", F.row_number().over(W.partitionBy("status", "_p").orderBy(*keys))).where(F.col("_k") <= most)
+    return first.withColumn("place", F.row_number().over(W.partitionBy("status").orderBy(*keys)).cast("bigint")).where(F.col("place") <= most).select("status", "place", *keys, "n")

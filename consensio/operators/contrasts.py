@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from consensio.operators.durable import cut
 from consensio.operators.labels import MEASURES, ratio
+from consensio.operators.resample import index_ci, resampled_means
 
 
 def mean_by(cells: DataFrame, by: Sequence[str], measures: Sequence[str] = ("cd_primary",), count: str | None = "n_cells") -> DataFrame:
@@ -48,3 +50,22 @@ def paired_delta(cells: DataFrame, a: str, b: str, measure: str = "cd_primary")
 def with_pooled(rows: DataFrame, column: str, pooled: str = "POOLED") -> DataFrame:
     """rows twice: under their own value and under `pooled`, so that pooled groups are aggregated anew."""
     return rows.withColumn(column, F.explode(F.array(F.col(column), F.lit(pooled))))
+
+
+def run_contrasts(new: DataFrame, base: DataFrame, configs: Sequence[str], baseline: str, b: int = 2000, seed: int = 42, regimes: Sequence[str] = ("H1_external", "H2_derivable"), measure: str = "cd_primary") -> DataFrame:
+    """Each config of one run's cells against the baseline method of another's, by regime: means, and the mean difference over items that both have, with its interval.
+
+    A row for each config and regime, with NULLs where there is nothing to compare. Items are few; nothing else is joined.
+    """
+    def items(own: DataFrame, methods: Sequence[str]) -> DataFrame:
+        return own.where(F.col("method").isin(list(methods)) & F.col("regime").isin(list(regimes))).groupBy("task", "regime", F.col("method").alias("config")).agg(F.avg(measure).alias("v"))
+
+    a, c = items(new, configs), items(base, [baseline]).select("task", "regime", F.col("v").alias("other"))
+    pairs = cut(a.join(c, ["task", "regime"]).withColumn("delta", F.col("v") - F.col("other")))
+    grid = new.sparkSession.createDataFrame([(x, r) for x in configs for r in regimes], "config string, regime string")
+    own = a.groupBy("config", "regime").agg(F.count(F.lit(1)).alias("n_items"), F.avg("v").alias("mean_cd"))
+    other = c.groupBy("regime").agg(F.avg("other").alias("baseline_cd"))
+    delta = pairs.groupBy("config", "regime").agg(F.count(F.lit(1)).alias("n_delta"), F.avg("delta").alias("delta"))
+    ci = index_ci(resampled_means(pairs, "task", "delta", b, seed, ["config", "regime"]), "mean", ["config", "regime"])
+    out = grid.join(own, ["config", "regime"], "left").join(other, "regime", "left").join(delta, ["config", "regime"], "left").join(ci, ["config", "regime"], "left")
+    return out.fillna(0, ["n_items", "n_delta"])

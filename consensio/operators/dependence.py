@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from consensio.operators.labels import ratio
+from consensio.operators.labels import CELL, cell_measures, ratio
 from consensio.schema import I_PERP
 
 
@@ -85,3 +85,23 @@ def marginal_rho(errors: DataFrame, agent: str, item: str, error: str) -> DataFr
     sums = two.groupBy(F.col(f"x.{agent}").alias("a1"), F.col(f"y.{agent}").alias("a2")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
     r = sums.select(pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
     return r.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("rho"), F.count("r").alias("n_pairs"))
+
+
+def dependence_cells(counts: DataFrame) -> DataFrame:
+    """Cells (see labels.CELL) with cd_primary, their agreement on wrong labels and the kappa of their method, model class and seed."""
+    by = ["method", "model_class", "seed"]
+    kappa = fleiss_kappa(counts, by, ["task", "regime", "ambiguity_k"]).select(*by, "kappa")
+    own = cell_measures(counts, CELL).select(*CELL, "n_agents", "cd_primary", "pairwise_wrong")
+    b = kappa.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return own.join(b, on, "left").drop(*[f"_r_{k}" for k in by])
+
+
+def dependence_summary(counts: DataFrame, by: str = "regime") -> DataFrame:
+    """by, n_cells, icc and n_eff: the intraclass correlation of each target's cells, averaged over the targets, and the effective number of agents."""
+    own = cell_measures(counts, [*CELL, "target"]).withColumn("n_wrong", F.col("n_agents") - F.col("n_target"))
+    per = icc(own, [by, "target"])
+    out = per.groupBy(by).agg(F.sum("n_cells").alias("n_cells"), F.avg("icc").alias("icc"), (F.sum(F.col("mean_agents") * F.col("n_cells")) / F.sum("n_cells")).alias("_mean"))
+    return out.select(by, "n_cells", "icc", effective_size(F.bround("_mean", 0), F.col("icc")).alias("n_eff"))

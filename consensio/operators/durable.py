@@ -3,6 +3,7 @@
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder under the checkpoint folder, which all executors share; see `cut`."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        cut(spark.range(1))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def hot_keys(df: DataFrame, keys: list[str], bound: int = 1000) -> DataFrame:
     """Keys that hold more than 1/bound of all rows; by their definition fewer than `bound` of them.
 

@@ -4,7 +4,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from consensio.functions.text import mask_labels
 from consensio.operators.durable import cut, fits, hot_keys, salted_join
 from consensio.operators.labels import ratio
 from consensio.operators.order import null_safe_join, running_sums
@@ -115,3 +117,26 @@ def mid_rank(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     if fits(per):
         return rows.join(F.broadcast(own), [*by, value])
     return salted_join(rows, own, [*by, value], hot_keys(rows, [*by, value]))
+
+
+def signal_sample(rows: DataFrame, signal: str, uid: str, size: int, seed: int = 42) -> DataFrame:
+    """`size` rows for coding: an equal share of each signal (at least one), and the rest from the rows not taken; all of them if there are fewer.
+
+    Rows are ordered by a hash of their unique id, so the sample is the same at every partitioning. Only the first rows of
+    each part of a signal are kept before they are ordered together.
+    """
+    own = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(uid).cast("string")))).withColumn("_p", F.pmod(F.crc32(F.col(uid).cast("string")), F.lit(64)))
+    small = cut(own.withColumn("_k", F.row_number().over(W.partitionBy(signal, "_p").orderBy("_h", uid))).where(F.col("_k") <= size))  # 64 * size rows of a signal at most
+    share = max(1, size // max(1, small.agg(F.countDistinct(signal)).first()[0]))
+    ranked = cut(small.withColumn("_k", F.row_number().over(W.partitionBy(signal).orderBy("_h", uid))))
+    first = ranked.where(F.col("_k") <= share)
+    rest = ranked.where(F.col("_k") > share).orderBy("_h", uid).limit(max(0, size - first.count()))
+    return first.unionByName(rest).drop("_h", "_p", "_k")
+
+
+def coding_rows(runs: DataFrame, tasks: DataFrame, unknown: str = "UNKNOWN") -> DataFrame:
+    """runs (log_pos, task, output) with their task's domain and prompt for coders; labels are masked, null texts are ''."""
+    t = tasks.dropna(subset=["task"]).dropDuplicates(["task"])
+    both = runs.join(F.broadcast(t), "task", "left") if fits(tasks) else salted_join(runs, t, ["task"], hot_keys(runs, ["task"]), "left")
+    none = F.lit("")
+    return both.select("log_pos", F.coalesce("domain", F.lit(unknown)).alias("domain"), mask_labels(F.coalesce("prompt", none)).alias("task_prompt"), mask_labels(F.coalesce("output", none)).alias("model_output"))

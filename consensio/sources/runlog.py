@@ -16,10 +16,33 @@ def existing(paths: list[str] | str) -> list[str]:
     """Paths that exist; a pattern stands for all files it matches. Remote paths are left as they are."""
     out: list[str] = []
     for p in [paths] if isinstance(paths, str) else paths:
-        out += [p] if "://" in p else sorted(glob.glob(p))
+        out += [p] if ":/" in p else sorted(glob.glob(p))
     return out
 
 
+def first_existing(*sets: list[str] | str) -> list[str]:
+    """The paths of the first set that has any; the others are what to fall back on."""
+    return next((found for s in sets if (found := existing(s))), [])
+
+
+def write_sample(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A sample for coders as CSV with a header, or as JSON lines."""
+    out = df.coalesce(1).write.mode("errorifexists")
+    out.option("header", True).option("quoteAll", True).option("escape", '"').csv(path) if kind == "csv" else out.json(path)
+
+
+def markdown(df: DataFrame, title: str, most: int = 200) -> str:
+    """A small table as a report; doubles to four decimals, NULL as a dash, and a line that says so if there are more rows."""
+    rows = df.limit(most + 1).collect()
+
+    def cell(v) -> str:
+        return "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "/").replace("\n", " ")
+
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+    return "\n".join([*lines, *([f"(more than {most} rows)"] if len(rows) > most else [])]) + "\n"
+
+
 def resolve_folder(name: str, start: str = ".") -> str | None:
     """The folder of that name in start or the nearest of its ancestors."""
     at = os.path.abspath(start)
@@ -40,8 +63,9 @@ def read_lines(spark: SparkSession, paths: list[str] | str, schema: StructType,
     if corrupt is None or corrupt not in schema.fieldNames():
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(found)
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(found)
-    # a filter on the corrupt column alone may not be pushed to a reader that did not parse the rest
-    return rows.where(F.col(corrupt).isNull() | F.col("type").isNotNull()).where(F.col(corrupt).isNull()).drop(corrupt)
+    # the reader parses a line only if another column than the corrupt one is asked for, so the filter names one that is always true
+    parsed = F.length(F.concat_ws("", F.lit("x"), F.col(own[0].name).cast("string"))) > 0
+    return rows.where(F.col(corrupt).isNull() & parsed).drop(corrupt)
 
 
 def read_run_log(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -69,7 +93,7 @@ def append_new(new: DataFrame, path: str, identity: list[str], schema: StructTyp
     Null identity columns compare as equal. Each call writes whole files, so a lost task leaves nothing half written.
     """
     spark = new.sparkSession
-    old = read_lines(spark, f"{path}/*.json", schema) if "://" not in path else read_lines(spark, path, schema)
+    old = read_lines(spark, f"{path}/*.json", schema) if ":/" not in path else read_lines(spark, path, schema)
     key = F.md5(F.to_json(F.struct(*[F.col(c).cast("string") for c in identity]), {"ignoreNullFields": "false"}))
     fresh = new.withColumn("_k", key).dropDuplicates(["_k"]).join(old.select(key.alias("_k")).distinct(), "_k", "left_anti").drop("_k").persist()
     try:
