@@ -18,18 +18,30 @@ from consensio.sources.tables import table
 
 #: Pivots of a source in a round; scores of a source, at even distances, from which they are taken.
 PIVOTS, SAMPLED = 32, 4096
+#: Scores that a task holds before it writes them as sorted arrays.
+ARRAY_SCORES = 2_000_000
 
 
 def sorted_arrays(scores: DataFrame, source: str, score: str) -> DataFrame:
-    """The sorted scores of each source in each partition: source, scores. Nothing is shuffled."""
+    """The sorted scores of each source in each partition, in arrays of about ARRAY_SCORES at most: source, scores. Nothing is shuffled."""
 
     def run(frames):
         parts: dict[int, list[np.ndarray]] = {}
+        held = 0
+
+        def written():
+            for k, own in parts.items():
+                yield pd.DataFrame({source: [k], "scores": [np.sort(np.concatenate(own))]})
+            parts.clear()
+
         for pdf in frames:
             for k, own in pdf.groupby(source)[score]:
                 parts.setdefault(k, []).append(own.to_numpy())
-        for k, own in parts.items():
-            yield pd.DataFrame({source: [k], "scores": [np.sort(np.concatenate(own))]})
+            held += len(pdf)
+            if held >= ARRAY_SCORES:
+                yield from written()
+                held = 0
+        yield from written()
 
     return scores.select(source, score).mapInPandas(run, f"{source} int, scores array<double>")
 
@@ -97,17 +109,18 @@ def counted(spark: SparkSession, sf: str, targets: list) -> DataFrame:
     results = table(spark, sf, "surfacing_results").where("score >= 0 AND score <= 1 AND NOT isnan(score) AND result_id IS NOT NULL")
     results = results.select("result_id", norm_key("task_id").alias("task"), "score").dropna(subset=["task"])
     results = results.groupBy("result_id").agg(F.min(F.struct("task", "score")).alias("r")).select("result_id", "r.*")
-    place = F.lit(None).cast("int")
-    for i, t in enumerate(targets):
-        place = F.when(F.col("domain").eqNullSafe(F.lit(t["domain"])) & F.col("regime").eqNullSafe(F.lit(t["regime"])), i).otherwise(place)
-    tasks = table(spark, sf, "tasks").select(norm_key("id").alias("task"), place.alias("source")).dropna().dropDuplicates(["task"])
-    if fits(tasks, 100_000):
-        return results.join(F.broadcast(tasks), "task").select("result_id", "source", "score")
-    return salted_join(results, tasks, ["task"], hot_keys(results, ["task"])).select("result_id", "source", "score")
+    places = spark.createDataFrame([(i, t["domain"], t["regime"]) for i, t in enumerate(targets)], "source int, d string, r string")
+    tasks = table(spark, sf, "tasks").select(norm_key("id").alias("task"), "domain", "regime").dropna(subset=["task"])
+    small = fits(tasks)
+    # targets are on the driver, so they are few enough to be sent
+    of = tasks.dropDuplicates(["task"]).join(F.broadcast(places), F.col("domain").eqNullSafe(F.col("d")) & F.col("regime").eqNullSafe(F.col("r"))).select("task", "source")
+    if small:
+        return results.join(F.broadcast(of), "task").select("result_id", "source", "score")
+    return salted_join(results, of, ["task"], hot_keys(results, ["task"])).select("result_id", "source", "score")
 
 
 def _selected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    targets = table(spark, sf, "keep_targets").dropna(subset=["keep_per_mille"]).distinct().collect()  # one row for each source, a fixed table
+    targets = table(spark, sf, "keep_targets").dropna(subset=["keep_per_mille"]).distinct().collect()  # a row for each source; its state is one range on the driver
     scores = cut(counted(spark, sf, targets))
     found = select_cutoffs(scores, "source", "score", {i: t["keep_per_mille"] for i, t in enumerate(targets)})
     rows = [(i, targets[i]["domain"], targets[i]["regime"], float(c), int(n), int(k)) for i, (c, n, k) in sorted(found.items())]

@@ -18,6 +18,8 @@ from consensio.sources.tables import table
 
 #: A copied span has at least so many words in a row.
 COPY_WORDS = 4
+#: A refusal counts in an answer of so many own words, or where it stands among the first words of a longer one.
+REFUSAL_WORDS, REFUSAL_START = 120, 40
 #: Share of a response's words that must be copied, and the words beside them that answer nothing.
 COPY_SHARE = 0.8
 
@@ -145,7 +147,11 @@ def votes(ws: list[str]) -> dict[str, float]:
     return out
 
 
-@lru_cache(maxsize=20_000)
+#: Prompts whose automata a worker keeps, about 50 KB each; the automaton of another one is built again.
+PROMPTS_KEPT = 2048
+
+
+@lru_cache(maxsize=PROMPTS_KEPT)
 def prompt_facts(prompt: str) -> tuple[SuffixAutomaton, frozenset[str], str | None]:
     """Of a prompt: its suffix automaton, its words, and its language if it is clear."""
     ws = words(prompt)
@@ -208,7 +214,7 @@ def defect(prompt: str | None, output: str | None, cut_off: int) -> str | None:
     if not code:
         low = text.lower().replace("’", "'").replace("‘", "'")
         at = next((end for end, _ in _REFUSAL.iter(low)), None)
-        if at is not None and len(own) <= 120 and not any(w[0].isdigit() and w not in given for w in own) and not _RESULT.search(text, at):
+        if at is not None and (len(own) <= REFUSAL_WORDS or len(words(low[:at])) <= REFUSAL_START) and not any(w[0].isdigit() and w not in given for w in own) and not _RESULT.search(text, at):
             return "refusal"
     if language:
         if '"' in text or "“" in text or "«" in text or "「" in text or "„" in text:
@@ -233,7 +239,7 @@ def judged_pairs(spark: SparkSession, sf: str) -> DataFrame:
     runs = with_cut(run_texts(spark, sf), F.col("text"))
     surely = F.col("is_cut") & ((F.col("evidence") >= STRONG) | (F.col("p_limit") > 0.9))
     runs = runs.select("row_key", "task", "model", "endpoint", "text", F.when(surely, 2).when(F.col("is_cut"), 1).otherwise(0).alias("cut_off"))
-    if fits(prompts, 100_000):
+    if fits(prompts):  # their texts, so by bytes too
         pairs = runs.join(F.broadcast(prompts), "task")
     else:
         pairs = salted_join(runs, prompts, ["task"], hot_keys(runs, ["task"]))
