@@ -50,8 +50,8 @@ def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, s
     return out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def percentiles(df: DataFrame, by: Sequence[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """by and, for each name, the percentile with linear interpolation; nulls are left out, a group of nulls alone too.
+def percentiles(df: DataFrame, by: Sequence[str], value: str, levels: dict[str, float], lower: bool = False) -> DataFrame:
+    """by and, for each name, the percentile with linear interpolation, or the lower of the two values; nulls are left out, a group of nulls alone too.
 
     Exact: rows are folded to distinct values, and the two values around the wanted place are picked by running counts.
     """
@@ -65,5 +65,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, levels: dict[str,
         for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             picked.append(F.min(F.when(upto > at, F.col(value))).alias(f"_{n}_{side}"))
     out = own.groupBy(*by).agg(*picked, F.max("_n").alias("_n"))
+    if lower:
+        return out.select(*by, *[F.col(f"_{n}_lo").alias(n) for n in levels])
     share = {n: (F.col("_n") - 1) * F.lit(p) - F.floor((F.col("_n") - 1) * F.lit(p)) for n, p in levels.items()}
     return out.select(*by, *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * share[n]).alias(n) for n in levels])

@@ -107,4 +107,73 @@ def tolerance_groups(spark, sf):
     return own.groupBy("event_type", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
+@book("""WITH g AS (SELECT l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY ALL), q AS (SELECT *, s * 10 // n AS q, s * 10 % n AS r FROM g), e AS (SELECT *, q + CASE WHEN 2 * r >= n THEN 1 ELSE 0 END AS up, q + CASE WHEN 2 * r > n THEN 1 WHEN 2 * r = n THEN q % 2 ELSE 0 END AS even FROM q)
+SELECT l_returnflag, n || ' rows, mean ' || up // 10 || '.' || up % 10 AS half_up, n || ' rows, mean ' || even // 10 || '.' || even % 10 AS half_even FROM e""")
+def report_strings(spark, sf):
+    """A count and a mean to one place as text, ties up and ties to even; in whole numbers, so that ties are ties."""
+    g = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("s"), F.count(F.lit(1)).alias("n"))
+    q, r, n = F.expr("s * 10 div n"), F.expr("s * 10 % n"), F.col("n")
+    up = q + F.when(2 * r >= n, 1).otherwise(0)
+    even = q + F.when(2 * r > n, 1).when(2 * r == n, q % 2).otherwise(0)
+
+    def text(v):
+        return F.format_string("%d rows, mean %d.%d", n, F.floor(v / 10), v % 10)
+
+    return g.select("l_returnflag", text(up).alias("half_up"), text(even).alias("half_even"))
+
+
+@book("SELECT m AS start_month, CAST(((month(o_orderdate) - m + 12) % 12) // 3 + 1 AS INT) AS quarter, count(*) AS n FROM orders, (SELECT unnest([1, 4, 7, 10]) AS m) GROUP BY ALL")
+def fiscal_starts(spark, sf):
+    """Quarters of years that begin in January, April, July or October."""
+    o = table(spark, sf, "orders").select(F.month("o_orderdate").alias("k"), F.explode(F.array(*[F.lit(m) for m in (1, 4, 7, 10)])).alias("start_month"))
+    return o.groupBy("start_month", F.floor(F.pmod(F.col("k") - F.col("start_month"), F.lit(12)) / 3 + 1).cast("int").alias("quarter")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@book("SELECT n_nationkey, substr(n_name, 2, 3) AS inclusive, substr(n_name, 3, 2) AS half_open FROM nation")
+def slices(spark, sf):
+    """Characters 2 to 4 counted from 1 with both ends, and from 0 without the last."""
+    return table(spark, sf, "nation").select("n_nationkey", F.substring("n_name", 2, 3).alias("inclusive"), F.substring("n_name", 3, 2).alias("half_open"))
+
+
+@book("SELECT 'Q' || quarter(o_orderdate) || ' ' || strftime(o_orderdate, '%m/%d/%Y') AS us, 'Q' || ((month(o_orderdate) + 8) % 12 // 3 + 1) || ' ' || strftime(o_orderdate, '%Y-%m-%d') AS fiscal_iso, count(*) AS n FROM orders GROUP BY ALL")
+def composite_dates(spark, sf):
+    d = F.col("o_orderdate")
+    fiscal = F.floor(F.pmod(F.month(d) - 4, F.lit(12)) / 3 + 1).cast("int")
+    return table(spark, sf, "orders").groupBy(F.concat(F.lit("Q"), F.quarter(d), F.lit(" "), F.date_format(d, "MM/dd/yyyy")).alias("us"), F.concat(F.lit("Q"), fiscal, F.lit(" "), F.date_format(d, "yyyy-MM-dd")).alias("fiscal_iso")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@book("""WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(c_custkey % 9 AS INT) AS k FROM customer)
+SELECT c_custkey, CAST(CASE WHEN cents < 0 THEN -(-cents // 100) ELSE cents // 100 END AS BIGINT) AS truncated, CAST(floor(cents / 100.0) AS BIGINT) AS floored, CAST(cents % 7 AS BIGINT) AS c_modulo, CAST(((cents % 7) + 7) % 7 AS BIGINT) AS floor_modulo, len(range(k)) AS half_open_range, len(range(k + 1)) AS closed_range, list_reverse_sort(range(k)) AS falling FROM c""")
+def integer_readings(spark, sf):
+    """Division and remainder toward zero and downward, ranges with and without their end, falling order."""
+    cents, k = F.round(F.col("c_acctbal") * 100).cast("bigint"), F.pmod("c_custkey", F.lit(9)).cast("int")
+    c = table(spark, sf, "customer").select("c_custkey", cents.alias("cents"), k.alias("k"))
+    return c.select("c_custkey", F.expr("cents div 100").alias("truncated"), F.floor(F.col("cents") / 100).alias("floored"), (F.col("cents") % 7).alias("c_modulo"), F.pmod("cents", F.lit(7)).cast("bigint").alias("floor_modulo"), F.when(F.col("k") > 0, F.col("k")).otherwise(0).cast("bigint").alias("half_open_range"), (F.col("k") + 1).cast("bigint").alias("closed_range"), F.transform(F.sort_array(F.filter(F.sequence(F.lit(0), F.col("k")), lambda x: x < F.col("k")), False), lambda x: x.cast("bigint")).alias("falling"))
+
+
+@book("SELECT o_orderpriority, " + r6("quantile_disc(o_totalprice, 0.5)") + " AS lower_median, arg_min(d, (-n, d)) AS mode_day, CAST(sum(n) FILTER (d >= 2 AND d < 5) AS BIGINT) AS half_open, CAST(sum(n) FILTER (d BETWEEN 2 AND 5) AS BIGINT) AS closed FROM (SELECT o_orderpriority, CAST(isodow(o_orderdate) AS INT) AS d, count(*) AS n FROM orders GROUP BY ALL) JOIN (SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS o_totalprice FROM orders GROUP BY ALL) USING (o_orderpriority) GROUP BY ALL")
+def modes_and_medians(spark, sf):
+    """The lower median, the most frequent weekday (the smallest of equal ones), and counts in a half-open and a closed range of days."""
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", (F.weekday("o_orderdate") + 1).alias("d"))
+    n = o.groupBy("o_orderpriority", "d").agg(F.count(F.lit(1)).alias("n"))
+    days = n.groupBy("o_orderpriority").agg(F.min(F.struct((-F.col("n")).alias("m"), "d"))["d"].alias("mode_day"), F.sum(F.when((F.col("d") >= 2) & (F.col("d") < 5), F.col("n"))).alias("half_open"), F.sum(F.when(F.col("d").between(2, 5), F.col("n"))).alias("closed"))
+    return null_safe_join(days, percentiles(o, ["o_orderpriority"], "o_totalprice", {"lower_median": 0.5}, lower=True), ["o_orderpriority"])
+
+
+@book("SELECT user_id, " + r6("total * 1.0 / sum(total) OVER ()") + " AS of_sum, " + r6("total * 1.0 / max(total) OVER ()") + " AS of_max, CAST(days AS BIGINT) AS days_between, CAST(days + 1 AS BIGINT) AS days_inclusive, CAST(days // 7 AS BIGINT) AS whole_weeks FROM (SELECT user_id, count(*) AS total, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS days FROM events GROUP BY ALL)")
+def spans_and_shares(spark, sf):
+    """Shares of the sum and of the largest, and the days from first to last, with and without the first."""
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.datediff(F.max("ts"), F.min("ts")).cast("bigint").alias("days"))
+    all_of = g.agg(F.sum("total").alias("s"), F.max("total").alias("m"))  # one row
+    return g.join(F.broadcast(all_of)).select("user_id", (F.col("total") / F.col("s")).alias("of_sum"), (F.col("total") / F.col("m")).alias("of_max"), F.col("days").alias("days_between"), (F.col("days") + 1).alias("days_inclusive"), F.floor(F.col("days") / 7).alias("whole_weeks"))
+
+
+@book("SELECT r_regionkey, list_sort(list(n_name)) AS by_code, list_transform(list_sort(list({'l': lower(n_name), 'n': n_name})), lambda x: x.n) AS without_case, list_sort(list(CAST(n_nationkey AS VARCHAR))) AS lexical, list_sort(list(n_nationkey)) AS numeric, CAST(list_position(list_sort(list(n_name)), max(n_name)) - 1 AS BIGINT) AS place_of_last FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def orders_of_names(spark, sf):
+    """Names by code and without case, keys as text and as numbers, places counted from 0; a region's nations are a few."""
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = n.groupBy("r_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("by_code"), F.sort_array(F.collect_list(F.struct(F.lower("n_name").alias("l"), F.col("n_name").alias("n")))).alias("x"), F.sort_array(F.collect_list(F.col("n_nationkey").cast("string"))).alias("lexical"), F.sort_array(F.collect_list("n_nationkey")).alias("numeric"), F.max("n_name").alias("top"))
+    return g.select("r_regionkey", "by_code", F.transform("x", lambda v: v["n"]).alias("without_case"), "lexical", "numeric", (F.array_position("by_code", F.col("top")) - 1).cast("bigint").alias("place_of_last"))
+
+
 QUERIES, SQL = book.queries, book.sql
