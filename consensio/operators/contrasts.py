@@ -41,6 +41,13 @@ def mean_and_error(cells: DataFrame, by: Sequence[str], measure: str = "cd_prima
     return cells.groupBy(*by).agg(F.avg(measure).alias("mean"), ratio(F.stddev_samp(measure), F.sqrt(F.count(measure).cast("double"))).alias("se"), F.count(measure).alias("n"))
 
 
+def with_zero(means: DataFrame, by: str, level: str, measure: str) -> DataFrame:
+    """means (by, level, measure) with `synthetic`: a point of 0 at level 0 is added to a group that has none there."""
+    groups = means.groupBy(by).agg(F.count_if(F.col(level) == 0).alias("_n")).where("_n = 0")
+    zero = groups.select(by, F.lit(0).cast(means.schema[level].dataType).alias(level), F.lit(0.0).alias(measure), F.lit(True).alias("synthetic"))
+    return means.select(by, level, measure, F.lit(False).alias("synthetic")).unionByName(zero)
+
+
 def paired_delta(cells: DataFrame, a: str, b: str, measure: str = "cd_primary") -> DataFrame:
     """For each task with both methods, the mean of a less that of b."""
     x, y = (F.avg(F.when(F.col("method") == m, F.col(measure))) for m in (a, b))

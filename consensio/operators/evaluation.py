@@ -60,6 +60,11 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Dat
     return out.withColumn("kappa", F.when(F.col("pe") < 1 - 1e-12, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))))
 
 
+def two_coders(first: DataFrame, second: DataFrame, key: str, label: str) -> DataFrame:
+    """key, a, b: the labels of two coders for what both have coded; a key is coded once by each."""
+    return first.select(key, F.col(label).alias("a")).join(second.select(key, F.col(label).alias("b")), key)
+
+
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Bounds of Wilson's interval; NULL at n = 0."""
     n = F.nullif(n.cast("double"), F.lit(0.0))

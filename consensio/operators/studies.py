@@ -47,6 +47,16 @@ def power_set(specs: DataFrame) -> DataFrame:
     return specs.select("id", ((F.size(F.array_distinct(sets)) == n) & (F.size(sets) == n)).alias("ok"))
 
 
+def certification_failures(interpretations: Column, level: Column) -> Column:
+    """What is wrong with a task's interpretations: their number is not 2 ** level, not one target, ids repeat, checks are missing, or fewer checks than readings."""
+    i, checks = interpretations, F.filter(interpretations["gold_check"], lambda c: c.isNotNull())
+    found = {
+        "size": F.size(i) != F.pow(F.lit(2), level), "targets": F.size(F.filter(i, lambda x: x["is_target"])) != 1, "ids": F.size(F.array_distinct(i["id"])) != F.size(i),
+        "unchecked": F.size(checks) < F.size(i), "indistinct": F.size(F.array_distinct(checks)) < F.size(i),
+    }
+    return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in found.items()]), lambda x: x.isNotNull())
+
+
 def label_from_checks(checks: DataFrame, key: str) -> DataFrame:
     """key, label from one row for each (candidate, interpretation): the only one that passes, else I_perp. Nulls do not pass."""
     ok = F.coalesce("passed", F.lit(False))

@@ -51,7 +51,8 @@ def phase_diagram(spark, sf):
 
 @book(f"{CELLS} SELECT method, {', '.join(f'{r6(f'avg(cd_primary) FILTER (ambiguity_k = {k})')} AS k{k}' for k in range(4))} FROM cells GROUP BY ALL")
 def heatmap_method_k(spark, sf):
-    return C.heatmap(_cells(spark, sf), "method", "ambiguity_k", range(4))
+    levels = [r[0] for r in table(spark, sf, "tasks").select("ambiguity_level").dropna().distinct().orderBy("ambiguity_level").collect()]  # levels of a benchmark, a few
+    return C.heatmap(_cells(spark, sf), "method", "ambiguity_k", levels)
 
 
 @book(f"{CELLS} SELECT regime, method, model_class, {r6('avg(iperp_rate)')} AS iperp_rate, count(*) AS n_cells FROM cells GROUP BY ALL")

@@ -53,6 +53,14 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("table_name", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
+def p3_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs whose task, config and model no finished job has; what of a run's three is not known may be anything."""
+    both = table(spark, sf, "agent_runs").select("log_pos", "rec_type", norm_key("task_id").alias("task"), norm_key("config").alias("config"), norm_key("model_id").alias("model"))
+    runs, jobs = both.where("rec_type = 'run'"), both.where("rec_type = 'job_done'").select("task", "config", "model").distinct()
+    keys = {k: k for k in ("task", "config", "model")}
+    return orphans(runs, jobs, keys, match="partial").groupBy("config", "model").agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
 _ID = ", ".join(f"{nk(k)} AS {k}" for k in IDENTITY)
 _RANKED = f"""SELECT log_pos, rec_type, ts, count(*) OVER w AS copies, row_number() OVER (w ORDER BY log_pos) AS nth,
   task_id IS NULL OR config IS NULL OR model_role IS NULL OR model_id IS NULL OR seed IS NULL AS anonymous
@@ -71,10 +79,11 @@ SELECT 'tasks', r.id, r.ref_key, r.created_at FROM (SELECT id, created_at, unnes
 WHERE {nk('r.ref_key')} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gold_checks g WHERE {nk('g.check_name')} = {nk('r.ref_key')}
   AND NOT coalesce(g.registered_at > r.created_at, false) AND NOT coalesce(g.retired_at <= r.created_at, false))"""
 
-QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_report": p3_report}
+QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_report": p3_report, "p3_composite": p3_composite}
 SQL = {
     "p2_found": f"SELECT log_pos FROM ({_RANKED}) WHERE nth > 1 AND NOT anonymous",
     "p2_kept": f"SELECT rec_type, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_kept FROM ({_RANKED}) WHERE nth = 1 OR anonymous GROUP BY ALL",
+    "p3_composite": f"WITH b AS (SELECT log_pos, rec_type, {nk('task_id')} AS task, {nk('config')} AS config, {nk('model_id')} AS model FROM agent_runs) SELECT config, model, count(*) AS n_orphans FROM b r WHERE rec_type = 'run' AND (task IS NOT NULL OR config IS NOT NULL OR model IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM b j WHERE j.rec_type = 'job_done' AND (r.task IS NULL OR j.task = r.task) AND (r.config IS NULL OR j.config = r.config) AND (r.model IS NULL OR j.model = r.model)) GROUP BY ALL",
     "p3_found": f"SELECT DISTINCT table_name, row_key, ref_key FROM ({_ORPHANS})",
     "p3_report": f"SELECT table_name, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_orphans FROM (SELECT DISTINCT table_name, row_key, ref_key, seen_at FROM ({_ORPHANS})) GROUP BY ALL",
 }

@@ -19,7 +19,7 @@ from consensio.operators import resample as R
 from consensio.operators import studies as S
 from consensio.operators.durable import cut, scratch
 from consensio.operators.labels import CELL, cell_measures, cells, label_counts, modal_wrong
-from consensio.operators.order import null_safe_join
+from consensio.operators.order import null_safe_join, percentiles
 from consensio.plans.base import CELL_KEYS, CELLS, TIDY, Book, measures_sql, r6, weight_sql
 from consensio.plans.consensus import B_ITEMS, B_VERDICT, SEED, _complete
 from consensio.plans.consensus import SQL as CONSENSUS_SQL
@@ -326,4 +326,106 @@ def jsonl_tasks(spark, sf):
     return L.read_tasks(spark, path).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("interpretations")).alias("n_interpretations"))
 
 
+# coders, jobs, shards, certification, costs
+
+_A, _B = "ostrel/lumen-large", "quorra/glass-xl"
+
+
+@book(f"""{TIDY}, c AS (SELECT task, model, avg(CASE WHEN label = target THEN 1.0 ELSE 0.0 END) > 0.5 AS hit FROM tidy GROUP BY ALL), p AS (SELECT a.hit AS a, b.hit AS b FROM c a JOIN c b ON a.task = b.task WHERE a.model = '{_A}' AND b.model = '{_B}'),
+k AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS pa, avg(CASE WHEN b THEN 1.0 ELSE 0.0 END) AS pb FROM p), e AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS pe FROM k) SELECT n, {r6('po')} AS po, {r6('pe')} AS pe, {r6('CASE WHEN pe < 1 - 1e-12 THEN (po - pe) / (1 - pe) END')} AS kappa FROM e""")
+def coder_kappa(spark, sf):
+    """Agreement of two coders on the tasks that both coded; the coders are two models, and a task is coded by the majority of their answers."""
+    c = tidy(spark, sf).where(F.col("model").isin(_A, _B)).groupBy("task", "model").agg((F.avg((F.col("label") == F.col("target")).cast("double")) > 0.5).alias("hit"))
+    return E.cohen_kappa(E.two_coders(c.where(F.col("model") == _A), c.where(F.col("model") == _B), "task", "hit"), "a", "b")
+
+
+@book(f"WITH i AS (SELECT rec_type, {nk('task_id')} AS task, {nk('config')} AS config, {nk('model_id')} AS model, {nk('model_role')} AS role, seed, replicate_seed FROM agent_runs), j AS (SELECT DISTINCT task, config, model, seed FROM i WHERE rec_type = 'job_done' AND task IS NOT NULL AND config IS NOT NULL AND model IS NOT NULL AND seed IS NOT NULL), r AS (SELECT task, config, model, seed, count(*) AS n, count(DISTINCT (coalesce(role, ''), coalesce(replicate_seed, -1))) AS d FROM i WHERE rec_type = 'run' GROUP BY ALL) SELECT config, count(*) AS n_jobs, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_runs, CAST(coalesce(sum(d), 0) AS BIGINT) AS n_identities FROM j LEFT JOIN r USING (task, config, model, seed) GROUP BY ALL")
+def job_identities(spark, sf):
+    """Distinct identities among the runs of finished jobs; fewer than runs where deliveries were repeated."""
+    keys = ["task", "config", "model", "seed"]
+    i = table(spark, sf, "agent_runs").select("rec_type", norm_key("task_id").alias("task"), norm_key("config").alias("config"), norm_key("model_id").alias("model"), norm_key("model_role").alias("role"), "seed", "replicate_seed")
+    one = F.struct(F.coalesce("role", F.lit("")), F.coalesce("replicate_seed", F.lit(-1)))
+    # distinct identities are folded first, so a job of very many deliveries is a row for each
+    runs = i.where("rec_type = 'run'").groupBy(*keys, one.alias("id")).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+    jobs = i.where("rec_type = 'job_done'").select(*keys).dropna().distinct().join(runs, keys, "left")
+    return jobs.groupBy("config").agg(F.count(F.lit(1)).alias("n_jobs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_runs"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_identities"))
+
+
+_MAN = f"""{TIDY}, own AS (SELECT task, model, seed, min(uid) AS uid, count(*) AS n FROM tidy WHERE model_class = 'reasoning' AND method = 'single' GROUP BY ALL), e AS (SELECT t.task, m.model, s.seed FROM (SELECT task FROM task_facts WHERE regime IS NOT NULL AND ambiguity_k >= 1) t, (SELECT unnest(['dunmar/pith-2-think', 'quorra/glass-xl', 'sarvik/novel-r1']) AS model) m, (SELECT unnest({_ASKED}) AS seed) s)"""
+
+
+def _manipulation(spark: SparkSession, sf: str):
+    t = tidy(spark, sf).where("model_class = 'reasoning' AND method = 'single'")
+    items = table(spark, sf, "tasks").where("regime IS NOT NULL AND ambiguity_level >= 1").select(norm_key("id").alias("task"))
+    reasoners = ["dunmar/pith-2-think", "quorra/glass-xl", "sarvik/novel-r1"]
+    grid = items.select("task", F.explode(F.array(*[F.lit(m) for m in reasoners])).alias("model")).select("task", "model", F.explode(F.array(*[F.lit(s).cast("bigint") for s in _ASKED])).alias("seed"), F.lit(1).alias("least"), F.lit(1).alias("most"))
+    return t, grid
+
+
+@book(f"{_MAN} SELECT CASE WHEN e.task IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS status, count(*) AS n_cells FROM e FULL JOIN own ON e.task = own.task AND e.model = own.model AND e.seed = own.seed GROUP BY ALL")
+def manipulation_grid(spark, sf):
+    """Cells of the check of the manipulation: items by reasoning models by requested seeds, one answer each."""
+    t, grid = _manipulation(spark, sf)
+    cells_of = G.compare_grids(grid, t, ["task", "model", "seed"], most="most")
+    return cells_of.select(F.when(F.col("status") == "overfilled", "duplicate").otherwise(F.col("status")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@book(f"{_MAN}, f AS (SELECT t.* FROM tidy t JOIN own USING (uid) JOIN e ON e.task = own.task AND e.model = own.model AND e.seed = own.seed), r AS (SELECT task, regime, avg(CASE WHEN label = target THEN 1.0 ELSE 0.0 END) AS recovery FROM f GROUP BY ALL), m AS (SELECT avg(recovery) FILTER (regime = 'H2_derivable') AS h2, avg(recovery) FILTER (regime = 'H1_external') AS h1 FROM r) SELECT {r6('h2')} AS mean_h2, {r6('h1')} AS mean_h1, CASE WHEN h2 >= 0.6 AND h1 <= 0.4 AND h2 - h1 >= 0.2 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m")
+def manipulation_check(spark, sf):
+    """The gate over the first answer of each expected cell."""
+    t, grid = _manipulation(spark, sf)
+    keys = ["task", "model", "seed"]
+    first = G.first_wins(t, keys, "uid").join(grid.select(*keys), keys, "left_semi")
+    return S.recovery_gate(S.recovery(first))
+
+
+@book(f"WITH k AS (SELECT {nk('task_id')} AS task, {nk('config')} AS config, {nk('model_role')} AS role, {nk('model_id')} AS model, seed, strftime(ingested_at, '%Y-%m') AS shard FROM agent_runs WHERE rec_type = 'run'), g AS (SELECT *, count(*) OVER (PARTITION BY task, config, role, model, seed) AS copies FROM k) SELECT shard, model, count(*) AS n_read, count(*) FILTER (copies > 1) AS n_repeated FROM g GROUP BY ALL")
+def shard_counts(spark, sf):
+    """Records read and repeated by shard (the month of delivery) and model."""
+    keys = ["task", "config", "role", "model", "seed"]
+    k = table(spark, sf, "agent_runs").where("rec_type = 'run'").select(norm_key("task_id").alias("task"), norm_key("config").alias("config"), norm_key("model_role").alias("role"), norm_key("model_id").alias("model"), "seed", F.date_format("ingested_at", "yyyy-MM").alias("shard"))
+    per = k.groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy(*keys).agg(F.sum("n").alias("copies"), F.collect_list(F.struct("shard", "n")).alias("s"))  # a shard once, so as many as there are months
+    return whole.select("model", "copies", F.explode("s").alias("s")).groupBy("s.shard", "model").agg(F.sum("s.n").alias("n_read"), F.sum(F.when(F.col("copies") > 1, F.col("s.n")).otherwise(0)).alias("n_repeated"))
+
+
+@book(f"""WITH x AS (SELECT {nk('id')} AS task, domain, ambiguity_level AS k, interpretations AS i FROM tasks), f AS (SELECT *, len(i) <> (1 << k) AS wrong_size, len(list_filter(i, lambda e: e.is_target)) <> 1 AS wrong_targets, len(list_distinct(list_transform(i, lambda e: e.id))) <> len(i) AS repeated_ids, len(list_filter(i, lambda e: e.gold_check IS NULL)) > 0 AS unchecked, len(list_distinct(list_filter(list_transform(i, lambda e: e.gold_check), lambda c: c IS NOT NULL))) < len(i) AS indistinct FROM x)
+SELECT task, domain, list_filter([CASE WHEN wrong_size THEN 'size' END, CASE WHEN wrong_targets THEN 'targets' END, CASE WHEN repeated_ids THEN 'ids' END, CASE WHEN unchecked THEN 'unchecked' END, CASE WHEN indistinct THEN 'indistinct' END], lambda e: e IS NOT NULL) AS failures FROM f WHERE wrong_size OR wrong_targets OR repeated_ids OR unchecked OR indistinct""")
+def task_failures(spark, sf):
+    """Tasks that a certification fails, with the reasons; without 'indistinct' a task's readings can be told apart."""
+    i = F.col("interpretations")
+    t = table(spark, sf, "tasks").select(norm_key("id").alias("task"), "domain", S.certification_failures(i, F.col("ambiguity_level")).alias("failures"))
+    return t.where(F.size("failures") > 0)
+
+
+_PRICES = {"ostrel": 0.01, "quorra": 0.015, "dunmar": 0.03}
+
+
+@book(f"SELECT {nk('model')} AS model, {r6('sum((coalesce(tokens_in, 0) + coalesce(tokens_out, 0)) * CASE ' + ' '.join(f'WHEN starts_with({nk("model")}, {chr(39)}{k}/{chr(39)}) THEN {v}' for k, v in _PRICES.items()) + ' ELSE 0.002 END) / 1000')} AS estimate, {r6('sum(cost_usd)')} AS billed FROM completions GROUP BY ALL")
+def estimated_costs(spark, sf):
+    """Costs from tokens and a price of each family for a thousand of them, beside what was billed; other families have one price."""
+    c = table(spark, sf, "completions").select(norm_key("model").alias("model"), (F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))).alias("tokens"), "cost_usd")
+    price = F.coalesce(F.create_map(*[x for k, v in _PRICES.items() for x in (F.lit(k), F.lit(v))])[F.substring_index("model", "/", 1)], F.lit(0.002))
+    return c.groupBy("model").agg((F.sum(F.col("tokens") * price) / 1000).alias("estimate"), F.sum("cost_usd").alias("billed"))
+
+
+@book(f"{CELLS}, m AS (SELECT regime, ambiguity_k, avg(cd_primary) AS mean FROM cells WHERE regime IS NOT NULL AND ambiguity_k IS NOT NULL GROUP BY ALL) SELECT regime, ambiguity_k, {r6('mean')} AS mean, false AS synthetic FROM m UNION ALL SELECT regime, 0, 0.0::DOUBLE, true FROM (SELECT DISTINCT regime FROM m) r WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.regime = r.regime AND ambiguity_k = 0)")
+def curve_from_zero(spark, sf):
+    """Means by ambiguity level, with a point at 0 where a regime has none."""
+    own = cells(tidy(spark, sf)).where("regime IS NOT NULL AND ambiguity_k IS NOT NULL")
+    return C.with_zero(C.mean_by(own, ["regime", "ambiguity_k"], count=None), "regime", "ambiguity_k", "cd_primary").withColumnRenamed("cd_primary", "mean")
+
+
+@book(f"{CELLS}, i AS (SELECT task, CASE WHEN ambiguity_k = 1 THEN 'k1' WHEN ambiguity_k > 1 THEN 'k2+' ELSE 'k0' END AS stratum, avg(cd_primary) AS cd FROM cells WHERE regime = 'H1_external' AND ambiguity_k IS NOT NULL GROUP BY ALL), h AS (SELECT median(cd) AS m FROM (SELECT task, avg(cd_primary) AS cd FROM cells WHERE regime = 'H2_derivable' GROUP BY ALL)) SELECT stratum, count(*) AS n_items, {r6('avg(cd)')} AS mean, {r6('median(cd)')} AS median, count(*) FILTER (cd <= (SELECT m FROM h)) AS n_convergent FROM i GROUP BY ALL")
+def strata(spark, sf):
+    """Items of external tasks by level: mean, median, and how many lie no higher than the median of derivable ones."""
+    own = cells(tidy(spark, sf)).where("ambiguity_k IS NOT NULL OR regime = 'H2_derivable'")
+    stratum = F.when(F.col("ambiguity_k") == 1, "k1").when(F.col("ambiguity_k") > 1, "k2+").otherwise("k0")
+    items = cut(own.groupBy("task", "regime", stratum.alias("stratum")).agg(F.avg("cd_primary").alias("cd")))
+    h2 = percentiles(items.where("regime = 'H2_derivable'").groupBy("task").agg(F.avg("cd").alias("cd")), [], "cd", {"m": 0.5})
+    h1 = items.where("regime = 'H1_external'")
+    n = h1.join(F.broadcast(h2)).groupBy("stratum").agg(F.count(F.lit(1)).alias("n_items"), F.avg("cd").alias("mean"), F.count_if(F.col("cd") <= F.col("m")).alias("n_convergent"))
+    return n.join(percentiles(h1, ["stratum"], "cd", {"median": 0.5}), "stratum")
+
+
 QUERIES, SQL = book.queries, book.sql
