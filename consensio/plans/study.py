@@ -14,6 +14,8 @@ from consensio.operators import contrasts as C
 from consensio.operators import dependence as D
 from consensio.operators import evaluation as E
 from consensio.operators import filters as P
+from consensio.operators import gee as GE
+from consensio.operators import linear as LM
 from consensio.operators import nulls as N
 from consensio.operators import resample as R
 from consensio.operators import studies as S
@@ -248,6 +250,18 @@ def trials_flat(spark, sf):
     return flat.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n_trials"), F.max("order_index").cast("bigint").alias("last_index"), F.max("straightline_confidence").alias("straightline"), F.max("total_time_sec").alias("total_time"))
 
 
+@book()
+def trial_effects(spark, sf):
+    """Effects of the conditions on accepting, with participants as clusters; trials of customers as in trials_csv."""
+    c = table(spark, sf, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(13))).alias("i"))
+    k, i = F.col("k"), F.col("i")
+    t = c.select(k, F.col("i"), F.when((k + i) % 3 == 1, 1.0).otherwise(0.0).alias("fake"), F.when((k + i) % 3 == 2, 1.0).otherwise(0.0).alias("dep"), (i % 2).cast("double").alias("complete"), ((k + i * i) % 2).cast("double").alias("accept"))
+    d, names = LM.design(t, ["fake", "dep", "complete"], None, [("complete", "fake"), ("complete", "dep")])
+    r = GE.fit(d, "accept", names, "k", True)
+    rows = [(n, *GE.contrast(r, w), r["status"]) for n, w in (("fake", {"fake": 1.0}), ("dep less fake", {"dep": 1.0, "fake": -1.0}), ("complete x fake", {"complete:fake": 1.0}), ("complete x dep less fake", {"complete:dep": 1.0, "complete:fake": -1.0}))]
+    return spark.createDataFrame(rows, "effect string, estimate double, se double, z double, status string")
+
+
 _TRIAL = "SELECT c_custkey AS p, i AS o, CASE (c_custkey + i) % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'fake' ELSE 'dep' END AS condition, CASE WHEN (c_custkey * 7 + i) % 97 = 0 THEN NULL ELSE (c_custkey + i * i) % 2 END AS accept, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE 1 END AS attention FROM customer, (SELECT unnest(range(14)) AS i)"
 
 
