@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +36,15 @@ def encoding(path: str):
 
 
 def count_tokens(docs: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """(key, tokens) of every document; 0 for null and empty texts. Whole texts are counted."""
+    """(key, tokens) of every document; 0 for null and empty texts. Whole texts are counted.
+
+    The tokenizer's file lies on the driver and is sent along with the job.
+    """
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(frames):
-        encode = encoding(path).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for pdf in frames:
             yield pd.DataFrame({key: pdf[key], "tokens": [len(encode(t)) if t else 0 for t in pdf[text]]})
 
