@@ -124,6 +124,7 @@ def shuffled(counts: DataFrame, keys: Sequence[str], condition: Sequence[str], b
     pools = counts.groupBy(*condition, "label").agg(F.sum("n").alias("n")).groupBy(*condition).agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("l"), F.col("n").alias("n")))).alias("x_pool"))
     sizes = cell.groupBy(*condition, "x_chunk").agg(F.sum("x_n").alias("x_n")).groupBy(*condition).agg(F.sort_array(F.collect_list(F.struct(F.col("x_chunk").alias("c"), F.col("x_n").alias("n")))).alias("x_sizes"))
     one = null_safe_join(pools, sizes, condition).withColumn("x_hash", F.xxhash64(*condition))
+    one = one.repartition(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in condition)
 
     def to_chunks(frames):

@@ -68,6 +68,8 @@ def _sums(df: DataFrame, by: Sequence[str], fold, names: Sequence[str], kinds_of
                 out[n] = v
             yield out
 
+    # folded rows are few bytes and much work, which adaptive planning would put into one task
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.mapInPandas(run, kinds).groupBy(*by, "b").agg(*[F.sum(n).alias(n) for n in names])
 
 

@@ -31,7 +31,7 @@ def _point(own: DataFrame, measure: str) -> DataFrame:
 
 
 def _aggregation(t: DataFrame, name: str, status: str, b: int, seed: int, measure: str) -> DataFrame:
-    counts = label_counts(t, [*CELL, "model"])
+    counts = cut(label_counts(t, [*CELL, "model"]))
     whole = cell_measures(counts.groupBy(*CELL, "target", "label").agg(F.sum("n").alias("n")), CELL)
     ci = R.percentile_ci(against_single_replicates(counts, CELL, b, seed, "two-way", measure), "d")
     ok = F.when(F.col("lo").isNull(), "no_data").otherwise(status)
@@ -41,7 +41,7 @@ def _aggregation(t: DataFrame, name: str, status: str, b: int, seed: int, measur
 def _beyond_shuffle(t: DataFrame, b: int, n_perm: int, seed: int, measure: str) -> DataFrame:
     """What agreement is beyond shuffled labels, cell by cell, with tasks and models weighted in replicates."""
     keys = ["task", *CONDITION]
-    counts = label_counts(t, keys)
+    counts = cut(label_counts(t, keys))
     real = cell_measures(counts, keys).select(*keys, F.col(measure).alias("real"))
     null = N.shuffled(counts, keys, CONDITION, keys, n_perm, seed, measure, expected=True)
     gaps = N.null_safe_join(real, null, keys).select(F.col("task").alias("_t"), F.col("model").alias("_m"), (F.col("real") - F.col("mean")).alias("_v"))
@@ -110,7 +110,7 @@ def pilot_gate(tidy: DataFrame, n_interpretations: str = "n_interpretations", b:
     """
     spark = tidy.sparkSession
     golden = float(R.measure_of(np.array([[2.0, 3.0]]), ["I1", "I_perp"], "I0")[0])
-    counts = label_counts(tidy, [*CELL, n_interpretations])
+    counts = cut(label_counts(tidy, [*CELL, n_interpretations]))
     whole = cut(cell_measures(counts, [*CELL, n_interpretations]))
     h1 = whole.where("regime = 'H1_external'")
     k1 = F.col("ambiguity_k") >= 1

@@ -299,7 +299,7 @@ def _complete(spark, sf) -> DataFrame:
 
 def _shuffled(spark, sf, measure: str) -> DataFrame:
     keys = ["task", *_COND]
-    counts = label_counts(_complete(spark, sf), keys)
+    counts = cut(label_counts(_complete(spark, sf), keys))  # read for cells, pools and sizes
     return N.gap(counts, keys, N.shuffled(counts, keys, _COND, ["regime"], B_NULL, SEED, measure), ["regime"], measure)
 
 
@@ -319,7 +319,7 @@ def shuffle_null_frozen(spark, sf):
 def uniform_null(spark, sf):
     """Agreement beyond agents that take an interpretation at random."""
     keys = [*CELL, "n_interpretations"]
-    counts = label_counts(_complete(spark, sf), keys)
+    counts = cut(label_counts(_complete(spark, sf), keys))  # read for cells, pools and sizes
     return N.gap(counts, keys, N.uniform(counts, keys, "n_interpretations", ["ambiguity_k"], B_NULL, SEED), ["ambiguity_k"])
 
 
@@ -327,7 +327,7 @@ def uniform_null(spark, sf):
 def indep_counterfactual(spark, sf):
     """Agreement beyond agents that draw independently from their models' labels, with its interval."""
     t = tidy(spark, sf)
-    counts = label_counts(_complete(spark, sf), [*CELL, "model"])
+    counts = cut(label_counts(_complete(spark, sf), [*CELL, "model"]))
     pool = t.where("model IS NOT NULL").groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"))
     return N.gap(counts, CELL, N.redrawn(counts, CELL, pool, ["regime"], "model", B_VERDICT, SEED), ["regime"])
 

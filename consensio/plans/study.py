@@ -76,7 +76,7 @@ def dependence_cells(spark, sf):
 def dependence_by_regime(spark, sf):
     """Intraclass correlation, effective size and agreement beyond independence, by regime."""
     t = tidy(spark, sf)
-    counts = label_counts(_complete(spark, sf), [*CELL, "model"])
+    counts = cut(label_counts(_complete(spark, sf), [*CELL, "model"]))
     pool = t.where("model IS NOT NULL").groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"))
     gap = N.gap(counts, CELL, N.redrawn(counts, CELL, pool, ["regime"], "model", B_VERDICT, SEED), ["regime"])
     return null_safe_join(D.dependence_summary(label_counts(t.where("regime IS NOT NULL"))), gap.drop("n_cells"), ["regime"], "left")
