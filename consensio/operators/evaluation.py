@@ -34,6 +34,19 @@ def confusion(rows: DataFrame, predicted: str, positive: str, by: Sequence[str]
     return out.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.coalesce(ratio(2 * p * r, p + r), F.lit(0.0)))
 
 
+def detector_report(items: DataFrame, score: str, fired: str, positive: str, control: str, groups: Sequence[str]) -> DataFrame:
+    """dim, value, n, false_rate over controls, auroc, precision, recall and f1: over all items ('all') and by each of the groups; null values are groups.
+
+    Items are repeated once for each grouping, and every number follows from one pass over (group, score).
+    """
+    each = F.array(F.struct(F.lit("all").alias("dim"), F.lit("").alias("value")), *[F.struct(F.lit(g).alias("dim"), F.col(g).cast("string").alias("value")) for g in groups])
+    own = cut(items.select(F.explode(each).alias("g"), F.col(score).alias("s"), F.col(fired).alias("f"), F.col(positive).alias("p"), F.col(control).alias("c")).select("g.*", "s", "f", "p", "c"))
+    by = ["dim", "value"]
+    false_rate = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ratio(F.count_if(F.col("c") & F.col("f")), F.count_if("c")).alias("false_rate"))
+    out = null_safe_join(false_rate, confusion(own, "f", "p", by).select(*by, "precision", "recall", "f1"), by)
+    return null_safe_join(out, auroc(own, "s", "p", by).select(*by, "auroc"), by, "left")
+
+
 def calibration(rows: DataFrame, conf: str, correct: str, bins: int = 10) -> DataFrame:
     """Equal-width bins of confidence, the last one closed: bin, n, mean confidence, accuracy. Null confidences are left out."""
     b = F.least(F.floor(F.col(conf) * bins), F.lit(bins - 1)).cast("int")

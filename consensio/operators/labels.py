@@ -4,7 +4,7 @@ All measures are sums over the relation (cell, label, n): one aggregation folds
 labels. Pairs of agents are never made.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def cell_measures(counts: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    """Measures of each cell from its label counts.
+def cell_measures(counts: DataFrame, keys: Sequence[str] = CELL, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Measures of each cell from its label counts; extra: further ones by name, as aggregates over the rows (target, label, n) of a cell.
 
     cd_frozen: share of the most frequent wrong label; cd_primary: the same without I_perp as a candidate;
     cd_drop_iperp: without I_perp at all, 0 if nothing is left; iperp_rate; a_maj: 1 if the target is the only
@@ -63,11 +63,12 @@ def cell_measures(counts: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
         n_perp.alias("n_perp"),
         n_target.alias("n_target"),
         n_enum_wrong.alias("n_enum_wrong"),
+        *[c.alias(name) for name, c in (extra or {}).items()],
     )
 
 
-def cells(tidy: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
-    return cell_measures(label_counts(tidy, keys), keys)
+def cells(tidy: DataFrame, keys: Sequence[str] = CELL, extra: Mapping[str, Column] | None = None) -> DataFrame:
+    return cell_measures(label_counts(tidy, keys), keys, extra)
 
 
 #: Measures that may be chosen by name.

@@ -34,6 +34,14 @@ def cell_cd(spark, sf):
     return _cells(spark, sf).select(*CELL, "n_agents", "a_maj", "pairwise_wrong", *_M)
 
 
+@book(f"{LABELS}, own AS (SELECT {CELL_KEYS}, 1 - sum(n * n) * 1.0 / (sum(n) * sum(n)) AS gini, count(*) AS n_labels FROM lc GROUP BY ALL) SELECT method, {r6('avg(gini)')} AS gini, {r6('avg(n_labels)')} AS n_labels FROM own GROUP BY ALL")
+def own_measures(spark, sf):
+    """Measures that a user adds to those of cells: the Gini index of the labels, and how many there are."""
+    n = F.col("n")
+    extra = {"gini": 1 - F.sum(n * n) / (F.sum(n) * F.sum(n)), "n_labels": F.count("label")}
+    return C.mean_by(cells(tidy(spark, sf), CELL, extra), ["method"], ["gini", "n_labels"], None)
+
+
 @book(f"{CELLS} SELECT regime, model_class, {r6('avg(cd_primary)')} AS cd_primary, count(*) AS n_cells FROM cells GROUP BY ALL")
 def cd_by_regime(spark, sf):
     return C.mean_by(_cells(spark, sf), ["regime", "model_class"])

@@ -6,6 +6,7 @@ from consensio.functions import text as X
 from consensio.functions.keys import norm_key
 from consensio.functions.keys import sql_norm_key as nk
 from consensio.operators import evaluation as E
+from consensio.operators.dependence import pearson
 from consensio.operators.detector import baseline_scores, cluster_entropy, context_entropy, danger, surfacing
 from consensio.operators.labels import cells, ratio
 from consensio.operators.resample import auroc_ci
@@ -72,6 +73,16 @@ def threshold_select(spark, sf):
     return E.threshold(_items(spark, sf), "score", "control", "positive")
 
 
+@book(f"""{SURFACING}, o AS (SELECT 'all' AS dim, '' AS value, * FROM items UNION ALL SELECT 'regime', regime, * FROM items UNION ALL SELECT 'ambiguity_k', CAST(ambiguity_k AS VARCHAR), * FROM items),
+per AS (SELECT dim, value, score, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS q FROM o WHERE positive IS NOT NULL GROUP BY ALL), w AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY dim, value ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per),
+a AS (SELECT dim, value, sum(p * (below + q / 2.0)) / nullif(sum(p) * sum(q), 0) AS auroc FROM w GROUP BY ALL), x AS (SELECT dim, value, count(*) AS n, count(*) FILTER (control AND fired) * 1.0 / nullif(count(*) FILTER (control), 0) AS fr, {_PRF} FROM o GROUP BY ALL),
+y AS (SELECT *, coalesce(tp * 1.0 / nullif(tp + fp, 0), 0) AS p, coalesce(tp * 1.0 / nullif(tp + fn, 0), 0) AS r FROM x)
+SELECT y.dim, y.value, n, {r6('fr')} AS false_rate, {r6('auroc')} AS auroc, {r6('p')} AS precision, {r6('r')} AS recall, {r6('coalesce(2 * p * r / nullif(p + r, 0), 0)')} AS f1 FROM y LEFT JOIN a ON a.dim = y.dim AND a.value IS NOT DISTINCT FROM y.value""")
+def detector_report(spark, sf):
+    """The whole report on the detector: over all items, by regime and by level."""
+    return E.detector_report(_items(spark, sf), "score", "fired", "positive", "control", ["regime", "ambiguity_k"])
+
+
 _STORED = "SELECT DISTINCT result_id, task_id, model, fired, score FROM surfacing_results WHERE score >= 0 AND score <= 1 AND NOT isnan(score)"
 
 
@@ -253,6 +264,33 @@ def policy_table(spark, sf):
     return rows.groupBy("policy").agg(a.alias("appropriate"), o.alias("over"), (a - o).alias("net"), F.avg(F.when(F.col("danger"), F.col("ask"))).alias("danger_coverage"))
 
 
+_W = 1.959963984540054
+
+
+def _wilson_sql(k: str, n: str, sign: str) -> str:
+    p = f"({k} * 1.0 / nullif({n}, 0))"
+    bound = f"({p} + {_W * _W} / (2 * {n}) {sign} {_W} * sqrt({p} * (1 - {p}) / {n} + {_W * _W} / (4.0 * {n} * {n}))) / (1 + {_W * _W} / {n})"
+    return f"greatest(0, {bound})" if sign == "-" else f"least(1, {bound})"
+
+
+@book(f"{_ITEM}, pl AS (SELECT positive, unnest([{', '.join(f"{{'policy': '{k}', 'ask': {v}}}" for k, v in _POLICIES.items())}]) AS x FROM fl), g AS (SELECT x.policy AS policy, positive, count(*) FILTER (x.ask) AS k, count(*) AS n FROM pl GROUP BY ALL) SELECT policy, positive, k AS n_asked, n, {r6('k * 1.0 / n')} AS rate, {r6(_wilson_sql('k', 'n', '-'))} AS lo, {r6(_wilson_sql('k', 'n', '+'))} AS hi FROM g")
+def policy_intervals(spark, sf):
+    """Rates of asking of each policy on ambiguous and clear items, with their intervals."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), F.expr(v).alias("ask")) for k, v in _POLICIES.items()]))
+    g = _item_rows(spark, sf).select("positive", each.alias("x")).groupBy("x.policy", "positive").agg(F.count_if("x.ask").alias("n_asked"), F.count(F.lit(1)).alias("n"))
+    lo, hi = E.wilson(F.col("n_asked"), F.col("n"))
+    return g.select("policy", "positive", "n_asked", "n", ratio(F.col("n_asked"), F.col("n")).alias("rate"), lo.alias("lo"), hi.alias("hi"))
+
+
+@book(f"{_ITEM} SELECT positive, count(h_ctx) AS n, {r6('corr(h_seed, h_ctx)')} AS r FROM fl WHERE h_ctx IS NOT NULL AND h_seed IS NOT NULL AND NOT isnan(h_ctx) GROUP BY ALL HAVING count(*) > 1 AND stddev_pop(h_seed) > 0 AND stddev_pop(h_ctx) > 0")
+def entropy_correlation(spark, sf):
+    """Correlation of the entropy over seeds with that over contexts, where both vary."""
+    own = _item_rows(spark, sf).where("h_ctx IS NOT NULL AND h_seed IS NOT NULL AND NOT isnan(h_ctx)")
+    x, y = F.col("h_seed"), F.col("h_ctx")
+    g = own.groupBy("positive").agg(F.count(F.lit(1)).alias("n"), pearson(F.count(F.lit(1)).cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)).alias("r"))
+    return g.where("r IS NOT NULL")
+
+
 @book(f"{CELLS} SELECT method, model_class, {r6('avg(cd_frozen)')} AS cd_frozen, {r6('avg(cd_primary)')} AS cd_primary, {r6('avg(iperp_rate)')} AS iperp_rate, {r6('sum(n_target) * 1.0 / sum(n_agents)')} AS resolve_rate FROM cells GROUP BY ALL")
 def ensemble_diagnostics(spark, sf):
     return cells(tidy(spark, sf)).groupBy("method", "model_class").agg(F.avg("cd_frozen").alias("cd_frozen"), F.avg("cd_primary").alias("cd_primary"), F.avg("iperp_rate").alias("iperp_rate"), ratio(F.sum("n_target"), F.sum("n_agents")).alias("resolve_rate"))
