@@ -143,12 +143,12 @@ def composite_dates(spark, sf):
 
 
 @book("""WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, CAST(c_custkey % 9 AS INT) AS k FROM customer)
-SELECT c_custkey, CAST(CASE WHEN cents < 0 THEN -(-cents // 100) ELSE cents // 100 END AS BIGINT) AS truncated, CAST(floor(cents / 100.0) AS BIGINT) AS floored, CAST(cents % 7 AS BIGINT) AS c_modulo, CAST(((cents % 7) + 7) % 7 AS BIGINT) AS floor_modulo, len(range(k)) AS half_open_range, len(range(k + 1)) AS closed_range, list_reverse_sort(range(k)) AS falling FROM c""")
+SELECT c_custkey, CAST(CASE WHEN cents < 0 THEN -(-cents // 100) ELSE cents // 100 END AS BIGINT) AS truncated, CAST(floor(cents / 100.0) AS BIGINT) AS floored, CAST(cents % 7 AS BIGINT) AS c_modulo, CAST(((cents % 7) + 7) % 7 AS BIGINT) AS floor_modulo, len(range(k)) AS half_open_range, len(range(k + 1)) AS closed_range, array_to_string(list_reverse_sort(range(k)), ',') AS falling FROM c""")
 def integer_readings(spark, sf):
     """Division and remainder toward zero and downward, ranges with and without their end, falling order."""
     cents, k = F.round(F.col("c_acctbal") * 100).cast("bigint"), F.pmod("c_custkey", F.lit(9)).cast("int")
     c = table(spark, sf, "customer").select("c_custkey", cents.alias("cents"), k.alias("k"))
-    return c.select("c_custkey", F.expr("cents div 100").alias("truncated"), F.floor(F.col("cents") / 100).alias("floored"), (F.col("cents") % 7).alias("c_modulo"), F.pmod("cents", F.lit(7)).cast("bigint").alias("floor_modulo"), F.when(F.col("k") > 0, F.col("k")).otherwise(0).cast("bigint").alias("half_open_range"), (F.col("k") + 1).cast("bigint").alias("closed_range"), F.transform(F.sort_array(F.filter(F.sequence(F.lit(0), F.col("k")), lambda x: x < F.col("k")), False), lambda x: x.cast("bigint")).alias("falling"))
+    return c.select("c_custkey", F.expr("cents div 100").alias("truncated"), F.floor(F.col("cents") / 100).alias("floored"), (F.col("cents") % 7).alias("c_modulo"), F.pmod("cents", F.lit(7)).cast("bigint").alias("floor_modulo"), F.when(F.col("k") > 0, F.col("k")).otherwise(0).cast("bigint").alias("half_open_range"), (F.col("k") + 1).cast("bigint").alias("closed_range"), F.array_join(F.transform(F.sort_array(F.filter(F.sequence(F.lit(0), F.col("k")), lambda x: x < F.col("k")), False), lambda x: x.cast("string")), ",").alias("falling"))
 
 
 @book("SELECT o_orderpriority, " + r6("quantile_disc(o_totalprice, 0.5)") + " AS lower_median, arg_min(d, (-n, d)) AS mode_day, CAST(sum(n) FILTER (d >= 2 AND d < 5) AS BIGINT) AS half_open, CAST(sum(n) FILTER (d BETWEEN 2 AND 5) AS BIGINT) AS closed FROM (SELECT o_orderpriority, CAST(isodow(o_orderdate) AS INT) AS d, count(*) AS n FROM orders GROUP BY ALL) JOIN (SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS o_totalprice FROM orders GROUP BY ALL) USING (o_orderpriority) GROUP BY ALL")
@@ -168,12 +168,12 @@ def spans_and_shares(spark, sf):
     return g.join(F.broadcast(all_of)).select("user_id", (F.col("total") / F.col("s")).alias("of_sum"), (F.col("total") / F.col("m")).alias("of_max"), F.col("days").alias("days_between"), (F.col("days") + 1).alias("days_inclusive"), F.floor(F.col("days") / 7).alias("whole_weeks"))
 
 
-@book("SELECT r_regionkey, list_sort(list(n_name)) AS by_code, list_transform(list_sort(list({'l': lower(n_name), 'n': n_name})), lambda x: x.n) AS without_case, list_sort(list(CAST(n_nationkey AS VARCHAR))) AS lexical, list_sort(list(n_nationkey)) AS numeric, CAST(list_position(list_sort(list(n_name)), max(n_name)) - 1 AS BIGINT) AS place_of_last FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+@book("SELECT r_regionkey, array_to_string(list_sort(list(n_name)), ',') AS by_code, array_to_string(list_transform(list_sort(list({'l': lower(n_name), 'n': n_name})), lambda x: x.n), ',') AS without_case, array_to_string(list_sort(list(CAST(n_nationkey AS VARCHAR))), ',') AS lexical, array_to_string(list_sort(list(n_nationkey)), ',') AS numeric, CAST(list_position(list_sort(list(n_name)), max(n_name)) - 1 AS BIGINT) AS place_of_last FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def orders_of_names(spark, sf):
     """Names by code and without case, keys as text and as numbers, places counted from 0; a region's nations are a few."""
     n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     g = n.groupBy("r_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("by_code"), F.sort_array(F.collect_list(F.struct(F.lower("n_name").alias("l"), F.col("n_name").alias("n")))).alias("x"), F.sort_array(F.collect_list(F.col("n_nationkey").cast("string"))).alias("lexical"), F.sort_array(F.collect_list("n_nationkey")).alias("numeric"), F.max("n_name").alias("top"))
-    return g.select("r_regionkey", "by_code", F.transform("x", lambda v: v["n"]).alias("without_case"), "lexical", "numeric", (F.array_position("by_code", F.col("top")) - 1).cast("bigint").alias("place_of_last"))
+    return g.select("r_regionkey", F.array_join("by_code", ",").alias("by_code"), F.array_join(F.transform("x", lambda v: v["n"]), ",").alias("without_case"), F.array_join("lexical", ",").alias("lexical"), F.array_join(F.transform("numeric", lambda v: v.cast("string")), ",").alias("numeric"), (F.array_position("by_code", F.col("top")) - 1).cast("bigint").alias("place_of_last"))
 
 
 QUERIES, SQL = book.queries, book.sql

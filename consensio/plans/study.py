@@ -404,12 +404,12 @@ def shard_counts(spark, sf):
 
 
 @book(f"""WITH x AS (SELECT {nk('id')} AS task, domain, ambiguity_level AS k, interpretations AS i FROM tasks), f AS (SELECT *, len(i) <> (1 << k) AS wrong_size, len(list_filter(i, lambda e: e.is_target)) <> 1 AS wrong_targets, len(list_distinct(list_transform(i, lambda e: e.id))) <> len(i) AS repeated_ids, len(list_filter(i, lambda e: e.gold_check IS NULL)) > 0 AS unchecked, len(list_distinct(list_filter(list_transform(i, lambda e: e.gold_check), lambda c: c IS NOT NULL))) < len(i) AS indistinct FROM x)
-SELECT task, domain, list_filter([CASE WHEN wrong_size THEN 'size' END, CASE WHEN wrong_targets THEN 'targets' END, CASE WHEN repeated_ids THEN 'ids' END, CASE WHEN unchecked THEN 'unchecked' END, CASE WHEN indistinct THEN 'indistinct' END], lambda e: e IS NOT NULL) AS failures FROM f WHERE wrong_size OR wrong_targets OR repeated_ids OR unchecked OR indistinct""")
+SELECT task, domain, array_to_string(list_filter([CASE WHEN wrong_size THEN 'size' END, CASE WHEN wrong_targets THEN 'targets' END, CASE WHEN repeated_ids THEN 'ids' END, CASE WHEN unchecked THEN 'unchecked' END, CASE WHEN indistinct THEN 'indistinct' END], lambda e: e IS NOT NULL), ',') AS failures FROM f WHERE wrong_size OR wrong_targets OR repeated_ids OR unchecked OR indistinct""")
 def task_failures(spark, sf):
     """Tasks that a certification fails, with the reasons; without 'indistinct' a task's readings can be told apart."""
     i = F.col("interpretations")
     t = table(spark, sf, "tasks").select(norm_key("id").alias("task"), "domain", S.certification_failures(i, F.col("ambiguity_level")).alias("failures"))
-    return t.where(F.size("failures") > 0)
+    return t.where(F.size("failures") > 0).select("task", "domain", F.array_join("failures", ",").alias("failures"))
 
 
 _PRICES = {"ostrel": 0.01, "quorra": 0.015, "dunmar": 0.03}
